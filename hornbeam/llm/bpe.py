@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from hornbeam.llm.common import table
 
 #: Unicode White_Space, which is what \s means to the library's pattern engine.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts above LONG characters are cut where white space begins, every PART characters or later;
 #: white-space runs from RUN characters are matched here, as the pattern engine recurses on them.
 LONG, PART, RUN = 1 << 16, 1 << 15, 512

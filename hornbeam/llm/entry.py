@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornbeam.llm import bpe
+from hornbeam.llm import bpe, langid, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
