@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornbeam.llm import bpe, langid, toxicity
+from hornbeam.llm import bpe, chat, credentials, langid, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_format": chat.op1_chat_format,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op8_quality_rules": quality.op8_quality_rules,
+        "op9_secret_scan": credentials.op9_secret_scan,
         "op10_language_id": langid.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_chat_format": chat.OP1_SQL,
+    }
