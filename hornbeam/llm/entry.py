@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornbeam.llm import bpe, chat, credentials, langid, quality, toxicity
+from hornbeam.llm import bpe, chat, credentials, langid, mtree, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": chat.op1_chat_format,
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_exact_top_k": mtree.op7_exact_top_k,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_secret_scan": credentials.op9_secret_scan,
         "op10_language_id": langid.op10_language_id,
@@ -23,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat.OP1_SQL,
+        "op7_exact_top_k": mtree.OP7_SQL,
     }
