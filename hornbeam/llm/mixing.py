@@ -25,6 +25,7 @@ through; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -132,7 +133,8 @@ def _fold(history: list[list[float]], momentum: list[float], step: float, penalt
     start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point"))
     if not history:
         return start
-    rounds = F.array(*[F.struct(F.array(*[F.lit(u) for u in us]).alias("u"), F.lit(m).alias("m")) for us, m in zip(history, momentum, strict=True)])
+    told = json.dumps([{"u": us, "m": m} for us, m in zip(history, momentum, strict=True)])
+    rounds = F.from_json(F.lit(told), "array<struct<u:array<double>,m:double>>")  # one literal, however many rounds
 
     def go(s: Column, x: Column) -> Column:
         slope = F.aggregate(F.zip_with(F.col("a"), x["u"], lambda a, u: a * u), F.lit(0.0), lambda p, q: p + q) + F.lit(penalty) * F.col("w") * (s["point"] - 1.0)
