@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hornbeam.llm import bpe, chat, credentials, langid, mixing, mtree, quality, substring, toxicity
+from hornbeam.llm import bpe, chat, credentials, jaccard, langid, mixing, mtree, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_format": chat.op1_chat_format,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
         "op5_source_mixing": mixing.op5_source_mixing,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_exact_top_k": mtree.op7_exact_top_k,
