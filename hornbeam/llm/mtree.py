@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from hornbeam.llm.common import table
 
 #: Vectors in a leaf page, in a shard page, and queries in a block.
-LEAF, PAGE, BLOCK = 128, 20_000, 5_000
+LEAF, PAGE, BLOCK = 512, 20_000, 5_000
 #: Bytes of the sample that floors are taken from, and its rows at most; pivots at most.
 SAMPLE_BYTES, SAMPLE_ROWS, PIVOTS = 16 << 20, 2048, 256
 
@@ -59,11 +59,16 @@ class MTree:
         norms = (self.plain**2).sum(1)
         self.most = norms.max(initial=0.0)
         self.space = np.concatenate([self.plain, np.sqrt(np.maximum(self.most - norms, 0))[:, None]], 1)
-        #: nodes: (rows of a leaf or None, children or None, routing vectors' distances to this node's, radii of the children)
+        #: nodes: (where the rows of a leaf lie or None, children or None, routing vectors' distances to this node's, radii of the children)
         self.nodes: list[tuple] = []
         self.routes: list[np.ndarray] = []
         self.radii: list[float] = []
+        self.places: list[np.ndarray] = []
         self.root = self._build(np.arange(len(self.ids))) if len(self.ids) else -1
+        if self.places:  # the rows of a leaf lie together
+            at = np.concatenate(self.places)
+            self.ids, self.vectors, self.plain = self.ids[at], self.vectors[at], np.ascontiguousarray(self.plain[at])
+        del self.space, self.places
 
     def _build(self, rows: np.ndarray) -> int:
         here = self.space[rows]
@@ -74,7 +79,9 @@ class MTree:
         self.routes.append(route)
         self.radii.append(float(far.max()))
         if len(rows) <= LEAF or far.max() < 1e-9 and len(rows) <= PAGE:
-            self.nodes[at] = (rows, None, far, None)
+            start = sum(map(len, self.places))
+            self.places.append(rows)
+            self.nodes[at] = (slice(start, start + len(rows)), None, far, None)
             return at
         # four parts around vectors far from each other, of at most half the rows each
         seeds = [int(far.argmax())]
@@ -96,7 +103,8 @@ class MTree:
         """The k best (score, id) but those of id ``own``; none below ``floor`` are needed."""
         if self.root < 0:
             return []
-        q = np.append(query.astype(float), 0.0)
+        plain = query.astype(float)
+        q = np.append(plain, 0.0)
         base = float(q @ q) + self.most
         margin = 1e-6 * (base + 1) ** 0.5
         reach = lambda score: math.sqrt(max(base - 2.0 * score, 0.0)) + margin
@@ -117,13 +125,18 @@ class MTree:
                     if d - self.radii[kid] <= limit:
                         heapq.heappush(todo, (max(0.0, d - self.radii[kid]), kid, d))
                 continue
-            rows = rows[np.abs(to - apart) <= limit]
-            if not len(rows):
+            near = np.abs(to - apart) <= limit
+            some = np.count_nonzero(near)
+            if not some:
                 continue
-            scores = np.rint(self.plain[rows] @ q[:-1]).astype(np.int64) if self.small else inner(self.vectors[rows], query)
-            if len(best) == k:
-                keep = scores >= best[0][0]
-                rows, scores = rows[keep], scores[keep]
+            # a page is read as it lies unless the stored distances spare most of it
+            rows = np.arange(rows.start, rows.stop)[near] if some < len(near) // 4 else rows
+            scores = self.plain[rows] @ plain if self.small else inner(self.vectors[rows], query)
+            worst = best[0][0] if len(best) == k else floor
+            at = np.flatnonzero(scores > worst - 0.5) if worst is not None else np.arange(len(scores))
+            if not len(at):
+                continue
+            rows, scores = (at + rows.start if isinstance(rows, slice) else rows[at]), np.rint(scores[at]).astype(np.int64) if self.small else scores[at]
             if len(rows) > 2 * k:
                 keep = np.lexsort((self.ids[rows], -scores))[: k + int((self.ids[rows] == own).sum())]
                 rows, scores = rows[keep], scores[keep]

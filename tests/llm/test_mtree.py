@@ -21,21 +21,23 @@ def test_tree_equals_brute_force():
             assert sorted(tree.search(v[j], int(ids[j]), 20)) == brute(ids, v, v[j], ids[j], 20)
 
 
-def test_bounds_spare_computations():
+def test_bounds_spare_computations(monkeypatch):
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.integers(-5, 6, (500, 6)) + 100 * np.eye(6, dtype=int)[k] for k in range(6)])
+    monkeypatch.setattr(M, "LEAF", 64)
     tree, seen = M.MTree(np.arange(3000), v), 0
     whole = tree.plain
 
     class Counted(np.ndarray):
         def __getitem__(self, rows):
             nonlocal seen
-            seen += len(rows)
-            return np.asarray(whole)[rows]
+            out = np.asarray(whole)[rows]
+            seen += len(out)
+            return out
 
     tree.plain = whole.view(Counted)
     tree.search(v[0], 0, 20)
-    assert seen < 1500
+    assert 0 < seen < 1500
 
 
 def test_query_equals_its_sql(spark, tmp_path):
