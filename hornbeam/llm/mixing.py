@@ -181,7 +181,11 @@ def mix(docs: DataFrame, labels: DataFrame, target: Target = Target(), text: str
     """doc_id, source, n_tokens, posterior and rate of every row of ``docs``."""
     keep = [c for c in ("doc_id", "source") if c in docs.columns]
     members = stored(posteriors(docs.select(*keep, F.col(text).alias("__text")), learn(docs, labels), "__text").drop("__text"))
-    report = fit_rates(members, target)
+    return with_rates(members, fit_rates(members, target), target)
+
+
+def with_rates(members: DataFrame, report: dict, target: Target) -> DataFrame:
+    """``members`` (n_tokens, posterior and any other columns) with the rate that the rounds of a fit give."""
     if not report["rounds"]:
         return members.withColumn("rate", F.lit(1.0))
     own = F.greatest(F.col("n_tokens") / F.lit(float(report["total"])), F.lit(1e-300))
