@@ -4,9 +4,10 @@ A classifier learned from the labelled table gives every document a posterior ov
 gets a nonnegative rate (how many times to use it), fitted so that the expected token totals of
 the domains, sum over documents of rate x tokens x posterior, meet the targets:
 
-    minimise  1/2 |A r - b|^2 + penalty/2 |r - 1|^2   over r >= 0,
+    minimise  1/2 |G^-1/2 (A r - b)|^2 + penalty/2 |r - 1|^2   over r >= 0,
 
-with one row of A for each domain and one column for each document. The solver is accelerated projected gradient
+with one row of A for each domain and one column for each document; G, the diagonal of A A', weighs the
+domains alike, small and large. The solver is accelerated projected gradient
 descent. Its gradient needs only A r, one number for each domain: each round is one aggregation of a
 narrow table, and the driver keeps the short history of residuals. The rate of a document is a fold over
 that history, so no rates are stored between rounds and a lost executor loses nothing.
@@ -46,7 +47,9 @@ class Target:
     #: Total of expected tokens, as a multiple of the corpus.
     size: float = 1.0
     penalty: float = 1e-3
-    rounds: int = 60
+    rounds: int = 30
+    #: The fit ends when no domain's residual moves by more than this part of the corpus.
+    close: float = 1e-6
 
 
 def figures(text: Column, words: Column, marks: dict[str, list[str]]) -> dict[str, Column]:
@@ -149,7 +152,7 @@ def fit_rates(members: DataFrame, target: Target = Target()) -> dict:
 
     Documents are scaled by w = tokens / total (steps and penalty are for each token, so long documents do not
     move further than short ones): a = w x posterior, and the Hessian in that scale is at most
-    max_d sum_i w_i p_id^2 + penalty <= 1 + penalty, which gives the step.
+    the largest row sum of G^-1/2 A A' G^-1/2, plus the penalty, which gives the step.
     """
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
@@ -159,21 +162,25 @@ def fit_rates(members: DataFrame, target: Target = Target()) -> dict:
     w = F.greatest(F.col("n_tokens") / F.lit(float(total)), F.lit(1e-300))
     rows = members.filter("n_tokens > 0").select(w.alias("w"), F.transform("posterior", lambda p: p * w).alias("a"))
     gram = rows.agg(*[F.sum(F.get("a", i) * F.get("a", j) / F.col("w")) for i in range(len(DOMAINS)) for j in range(len(DOMAINS))]).first()
-    top = max(sum(abs(gram[i * len(DOMAINS) + j]) for j in range(len(DOMAINS))) for i in range(len(DOMAINS)))
+    k = len(DOMAINS)
+    g = [max(gram[i * k + i], 0.0) for i in range(k)]
+    back = [1 / x if x > 1e-12 else 0.0 for x in g]  # a domain without members cannot be met
+    top = max(sum(abs(gram[i * k + j]) * math.sqrt(back[i] * back[j]) for j in range(k)) for i in range(k))
     step = 1.0 / (top + target.penalty)
     history: list[list[float]] = []
     momentum: list[float] = []
-    t, residual = 1.0, [0.0] * len(DOMAINS)
+    t, residual, before = 1.0, [0.0] * len(DOMAINS), None
     for _ in range(target.rounds):
         at = rows.withColumn("s", _fold(history, momentum, step, target.penalty))
         got = at.agg(*[F.sum(F.get("a", i) * F.col("s.point")) for i in range(len(DOMAINS))]).first()
         residual = [g - b for g, b in zip(got, goal, strict=True)]
         ahead = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        history.append(residual)
+        history.append([r * b for r, b in zip(residual, back, strict=True)])
         momentum.append((t - 1) / ahead)
         t = ahead
-        if len(history) > 2 and max(abs(a - b) for a, b in zip(history[-1], history[-2], strict=True)) < 1e-7:
+        if before and max(abs(a - b) for a, b in zip(residual, before, strict=True)) < target.close:
             break
+        before = residual
     return {"residual": residual, "rounds": len(history), "total": total, "history": history, "momentum": momentum, "step": step, "goal": goal}
 
 
