@@ -1 +1 @@
-"""Package."""
+"""Functions of the language as Columns."""

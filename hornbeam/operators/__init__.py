@@ -1 +1 @@
-"""Package."""
+"""Relational algebra on views."""

@@ -1 +1 @@
-"""Package."""
+"""From rules to DataFrame plans and fixpoints."""

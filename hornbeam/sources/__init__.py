@@ -1 +1 @@
-"""Package."""
+"""Reading and writing relations."""

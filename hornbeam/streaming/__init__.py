@@ -1 +1 @@
-"""Package."""
+"""Programs over streams of facts."""
