@@ -93,33 +93,32 @@ def repeated_runs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the repeated sentences removed from the text, and n_sentences and n_removed added."""
-    made = ["n_sentences", "n_removed"]
+    """``docs`` with the repeated sentences removed from the text, and n_removed (their number) added."""
+    made = ["n_removed"]
     rest = [c for c in docs.columns if c not in (text, *made)]
     later = repeated_runs(docs, text).withColumnRenamed("doc_id", "__id")
     joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("__text")).join(later, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     head = docs.select(*[F.col(f"`{c}`") for c in rest])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema] + [f"`{text}` string", "n_sentences int", "n_removed int"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema] + [f"`{text}` string", "n_removed int"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts, counts, gone = [], [], []
+                texts, gone = [], []
                 for t, starts in zip(batch.column(len(rest)), batch.column(len(rest) + 1), strict=True):
                     t, starts = t.as_py(), starts.as_py()
-                    pieces = sentences(t or "")
-                    counts.append(len(pieces))
-                    cut = np.zeros(len(pieces), bool)
-                    if starts:
-                        starts = set(starts)
+                    cut = np.zeros(0, bool)
+                    if starts:  # most texts pass through without a look
+                        pieces, starts = sentences(t), set(starts)
+                        cut = np.zeros(len(pieces), bool)
                         for a, b, _ in runs(pieces):
                             if a in starts:
                                 cut[a:b] = True
                         t = "".join(p for p, c in zip(pieces, cut, strict=True) if not c)
                     gone.append(int(cut.sum()))
                     texts.append(t)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], names=[*rest, text, *made])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array(gone, pa.int32())], names=[*rest, text, *made])
 
     return joined.mapInArrow(work, schema)
 
