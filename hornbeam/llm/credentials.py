@@ -97,10 +97,10 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("__weak", F.when(whole, F.filter(weak[0], lambda x: ~overlaps(x)))).withColumn("__key", F.when(whole, F.xxhash64(F.col("doc_id"), bare)))
     each = found.filter("__key IS NOT NULL").select("__key", F.explode(F.concat("__weak", F.filter("base", lambda x: x["kind"] == 1))).alias("x"))
     parts = each.select(F.col("__key").alias("key"), "x.start", "x.kind", "x.end").distinct()
-    added = linked_parts(parts).groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("__added"))
+    added = linked_parts(parts).groupBy(F.col("key").alias("__near")).agg(F.collect_set(F.struct("start", "kind", "end")).alias("__added"))
     # only documents with weak parts meet the join
     plain = found.filter("__key IS NULL").withColumn("spans", F.col("base"))
-    joined = found.filter("__key IS NOT NULL").join(added, F.col("__key") == F.col("key"), "left").withColumn("spans", F.sort_array(F.concat("base", F.coalesce("__added", F.array().cast(SPAN)))))
+    joined = found.filter("__key IS NOT NULL").join(added, F.col("__key") == F.col("__near"), "left").withColumn("spans", F.sort_array(F.concat("base", F.coalesce("__added", F.array().cast(SPAN)))))
     out = [*[c for c in docs.columns if c not in ("base", "spans")], "base", "spans"]
     return plain.select(*out).unionByName(joined.select(*out))
 

@@ -109,9 +109,9 @@ def report(docs: DataFrame, limits: Limits = Limits(), host: str = "source", tex
 
 def filter_documents(docs: DataFrame, limits: Limits = Limits(), host: str = "source", text: str = "text") -> DataFrame:
     """The kept documents with their frequent lines removed from the text; needs unique ids."""
-    verdict = report(docs, limits, host, text).filter("kept").select("doc_id", "removed")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return docs.join(verdict, "doc_id").withColumn(text, F.when(F.size("removed") > 0, left).otherwise(F.col(text))).select(*docs.columns)
+    verdict = report(docs, limits, host, text).filter("kept").select("doc_id", F.col("removed").alias("__gone"))
+    left = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    return docs.join(verdict, "doc_id").withColumn(text, F.when(F.size("__gone") > 0, left).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

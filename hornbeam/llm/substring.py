@@ -96,7 +96,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the repeated sentences removed from the text, and n_removed (their number) added."""
     made = ["n_removed"]
     rest = [c for c in docs.columns if c not in (text, *made)]
-    later = repeated_runs(docs, text).withColumnRenamed("doc_id", "__id")
+    later = repeated_runs(docs, text).toDF("__id", "__starts")
     joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("__text")).join(later, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     head = docs.select(*[F.col(f"`{c}`") for c in rest])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema] + [f"`{text}` string", "n_removed int"])

@@ -63,7 +63,7 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     rows = [(i, f"{own(i)}\n  {banner.upper()}", "h1") for i in range(30)]  # the line is frequent on h1
     rows += [(100, banner, "h1"), (101, banner, "h2"), (102, None, None), (103, own(103), None)]
     rows += [(200 + i, own(5000), "h3") for i in range(50)]  # copies count once
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, removed string")
     limits = quality.Limits(docs=10, share=0.1)
     out = {r.doc_id: r for r in quality.report(docs, limits).collect()}
     assert all(out[i].removed == [1] and out[i].kept and out[i].n_words_left == 30 for i in range(30))
@@ -74,7 +74,7 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
 
 
 def check_spans(spark, texts):
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, base string")
+    docs = spark.createDataFrame([(i, t, "clash", i) for i, t in enumerate(texts)], "doc_id long, text string, base string, key long")
     out = credentials.find_secrets(docs).select("doc_id", "base", "spans", credentials.listed(F.col("base")).alias("s"), credentials.masked(F.coalesce("text", F.lit("")), F.col("base")).alias("masked")).collect()
     assert len(out) == len(texts)
     for r in out:

@@ -37,7 +37,7 @@ def test_equals_brute_force_and_catches_passages(spark):
         docs[i] += ".\n" + passage + "\n" + make(rng, 40)
     docs |= {200: docs[9], 201: "Same. " * 500, 202: "", 203: make(rng, 20_000), 204: docs[5] + "x"}
     rows = [(i, t, "s", 1) for i, t in docs.items()] + [(300, None, "s", 1), (9, docs[9], "s", 1)]
-    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int")).collect()
+    out = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, starts string, n_removed int")).collect()
     assert len(out) == len(rows)
     want = brute(docs) | {300: None}
     for r in out:
