@@ -11,7 +11,8 @@ A document's set holds its distinct word shingles, as 64-bit hashes. Two documen
 4. Each set is first compared with one pivot: the set that heads most of its lists. Links to pivots give
    stars, and sets of one component need no further comparison.
 5. Between components, answers are derived: |x and y| <= |p and q| + |x - p| + |y - q| for the pivots p of x and q of y,
-   whose overlap is computed once; only pairs that this bound leaves open are compared themselves.
+   whose overlap is computed once, and |x and y| <= min(|x and p|, |y and p|) + min(|x - p|, |y - p|) if they share one;
+   only pairs that these bounds leave open are compared themselves.
 
 Style: numpy on Arrow batches, since prefixes and overlaps are array work. Lists are streamed in sorted order, not
 gathered, until step 5, where a list that spans components is held; the frequent-token order keeps such lists short.
@@ -19,7 +20,7 @@ The broadcast list of frequent tokens has at most HOT entries, and the bitmaps t
 to read sets of have a fixed size (a wrong bit costs time only). Links, sets and prints stay distributed.
 
 Defined cases: a null or wordless text has an empty set, no link, and is its own component; fewer words than a shingle make one
-shingle; repeated rows are equal sets; a row with a null id links with nothing and has a null component; ties
+shingle; repeated rows are equal sets (an id names one text); a row with a null id links with nothing and has a null component; ties
 go to smaller ids; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -38,8 +39,8 @@ from hornbeam.llm.common import smallest_reachable, stored, table
 WORDS, PERCENT = 4, 85
 #: Frequent tokens that are moved to the end of the order; tokens counted at a time; a count that is worth telling.
 HOT, CHUNK, TOLD = 1 << 17, 1 << 21, 3
-#: Bits of the bitmaps that choose documents.
-BITS = 1 << 24
+#: Bits of the bitmaps that choose documents; sets in a block of a family, about.
+BITS, CELL = 1 << 24, 256
 
 
 def tokens(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -164,21 +165,18 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(percent: int) -> Callable:
-    """Rows (a, b, set of a, set of b) to (a, b, overlap, sizes, linked)."""
-
-    def work(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                part = whole.slice(at, 500)
-                rows = []
-                for a, b, x, y in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    if len(x) > len(y):
-                        o = int((y == x[np.minimum(np.searchsorted(x, y), len(x) - 1)]).sum())
-                    else:
-                        o = int((x == y[np.minimum(np.searchsorted(y, x), len(y) - 1)]).sum())
-                    rows.append((a, b, o, len(x), len(y), 100 * o >= percent * (len(x) + len(y) - o)))
-                yield _batch("a b overlap na nb linked", *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()])])
+    """A cell's sets (cell, id, tokens) and pairs (cell, a, b) to (a, b, overlap, sizes, linked)."""
+
+    def work(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = {i: np.frombuffer(t, np.uint64) for i, t in zip(sets["id"].to_pylist(), sets["tokens"].to_pylist(), strict=True)}
+        rows = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            x, y = held[a], held[b]
+            few, many = (x, y) if len(x) <= len(y) else (y, x)
+            o = int((few == many[np.minimum(np.searchsorted(many, few), len(many) - 1)]).sum())
+            rows.append((a, b, o, len(x), len(y), 100 * o >= percent * (len(x) + len(y) - o)))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        return pa.table({n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(("a", "b", "overlap", "na", "nb", "linked"))})
 
     return work
 
@@ -245,28 +243,36 @@ class Join:
         self.spark = docs.sparkSession
 
     def compare(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, overlap, na, nb, linked) of pairs (a, b). Sets are made anew in the scan, for documents that a bitmap names."""
-        sides = []
-        for side in ("a", "b"):
-            slot = F.pmod(F.xxhash64(side), F.lit(BITS))
-            words = pairs.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 63).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 63 AS INT))")).alias("bits"))
-            got = words.toArrow()  # at most BITS / 63 rows
-            bits = np.zeros(BITS // 63 + 1, np.int64)
-            bits[got["w"].to_numpy()] = got["bits"].to_numpy()
-            sent, k = self.spark.sparkContext.broadcast(bits), self.words
-
-            def sets(batches, sent=sent, k=k):
-                for whole in batches:
-                    slots = whole.column(2).to_numpy()
-                    hit = whole.filter(pa.array((sent.value[slots // 63] >> (slots % 63)) & 1 == 1))
-                    for at in range(0, hit.num_rows, 500):
-                        part = hit.slice(at, 500)
-                        yield _batch("id tokens", part.column(0), pa.array([tokens(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary()))
-
-            own = self.docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("slot")).mapInArrow(sets, "id long, tokens binary")
-            sides.append(own.select(F.col("id").alias(side), F.col("tokens").alias(f"tokens_{side}")))
-        both = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "tokens_a", "tokens_b")
-        return stored(both.mapInArrow(_overlaps(self.percent), "a long, b long, overlap int, na int, nb int, linked boolean"))
+        """(a, b, overlap, na, nb, linked) of stored pairs (a, b, fa, fb), where fa and fb name the families of a and b.
+
+        Families are cut into blocks of about CELL sets, and a cell is a pair of blocks. A set goes to each of its
+        cells once, however many pairs it has there, so what moves follows the number of sets; a cell's size is bounded. Sets
+        are made anew in one scan, for the documents that a bitmap names.
+        """
+        blocks = pairs.select(F.col("fa").alias("f"), F.col("a").alias("id")).union(pairs.select("fb", "b")).distinct().groupBy("f").agg(F.ceil(F.count("*") / CELL).alias("blocks")).filter("blocks > 1")
+        for side in ("a", "b"):  # few families have more than one block
+            cut = blocks.select(F.col("f").alias(f"f{side}"), F.col("blocks").alias(f"n{side}"))
+            pairs = pairs.join(cut, f"f{side}", "left").withColumn(f"k{side}", F.pmod(F.xxhash64(side), F.coalesce(f"n{side}", F.lit(1))))
+        celled = stored(pairs.select(F.xxhash64("fa", "ka", "fb", "kb").alias("cell"), "a", "b"))
+        members = celled.select("cell", F.col("a").alias("id")).union(celled.select("cell", "b")).distinct()
+        slot = F.pmod(F.xxhash64("id"), F.lit(BITS))
+        words = members.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 63).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 63 AS INT))")).alias("bits"))
+        got = words.toArrow()  # at most BITS / 63 rows
+        bits = np.zeros(BITS // 63 + 1, np.int64)
+        bits[got["w"].to_numpy()] = got["bits"].to_numpy()
+        sent, k = self.spark.sparkContext.broadcast(bits), self.words
+
+        def sets(batches):
+            for whole in batches:
+                slots = whole.column(2).to_numpy()
+                hit = whole.filter(pa.array((sent.value[slots // 63] >> (slots % 63)) & 1 == 1))
+                for at in range(0, hit.num_rows, 500):
+                    part = hit.slice(at, 500)
+                    yield _batch("id tokens", part.column(0), pa.array([tokens(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary()))
+
+        own = self.docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("slot")).mapInArrow(sets, "id long, tokens binary")
+        shipped = members.join(own, "id").select("cell", "id", "tokens")
+        return stored(shipped.groupBy("cell").cogroup(celled.toDF("at_cell", "a", "b").groupBy("at_cell")).applyInArrow(_overlaps(self.percent), "a long, b long, overlap int, na int, nb int, linked boolean"))
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
@@ -293,24 +299,27 @@ class Join:
         heads = lists.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "n")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", (-F.col("head.id")).alias("pivot"), F.col("head.n").alias("m"))
         fits = (F.col("id") != F.col("pivot")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
         stars = lists.join(heads, "token").filter(fits).groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("best"))
-        star = self.compare(stored(stars.select((-F.col("best.p")).alias("a"), F.col("id").alias("b"))))
+        pivot = -F.col("best.p")
+        star = self.compare(stored(stars.select(pivot.alias("a"), F.col("id").alias("b"), pivot.alias("fa"), pivot.alias("fb"))))
         links = star.filter("linked").select("a", "b")
         label = stored(smallest_reachable(links))
 
         # what stands between components
-        own = star.filter("linked").select(F.col("b").alias("id"), F.col("a").alias("pivot"), "overlap", F.col("nb").alias("n"))
+        own = star.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "overlap")
         labelled = lists.join(label, "id", "left").select("token", "n", "at", "id", F.coalesce("component_id", "id").alias("label"))
         spread = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
         open_lists = labelled.join(spread, "token", "left_semi").select("token", "id", "n", "at", "label")
         pairs = stored(open_lists.repartition("token").sortWithinPartitions("token", "n", "at", "id").mapInArrow(_between(percent), "a long, b long").distinct())
         sizes = reps.join(rows.select("hi", "lo", "n").distinct(), ["hi", "lo"]).select(F.col("rep").alias("id"), "n")
-        side = lambda s: sizes.join(own.drop("n"), "id", "left").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.coalesce("pivot", "id").alias(f"p_{s}"), (F.col("n") - F.coalesce("overlap", "n")).alias(f"d_{s}"))
-        known = stored(pairs.join(side("a"), "a").join(side("b"), "b"))
-        first = known.select(F.least("p_a", "p_b").alias("a"), F.greatest("p_a", "p_b").alias("b")).filter("a <> b").distinct()
-        pivots = self.compare(stored(first))
+        side = lambda s: sizes.join(own, "id", "left").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.coalesce("pivot", "id").alias(f"p_{s}"), F.coalesce("overlap", "n").alias(f"o_{s}"), (F.col("n") - F.coalesce("overlap", "n")).alias(f"d_{s}"))
+        known = stored(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", F.least("p_a", "p_b")).withColumn("v", F.greatest("p_a", "p_b")))
+        pivots = self.compare(stored(known.filter("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("u").alias("fa"), F.col("v").alias("fb")).distinct()))
         least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-        derived = known.withColumn("u", F.least("p_a", "p_b")).withColumn("v", F.greatest("p_a", "p_b")).join(pivots.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("overlap").alias("o")), ["u", "v"], "left")
-        left = derived.filter((F.col("o").isNull() | (F.col("o") + F.col("d_a") + F.col("d_b") >= least)) & ~((F.col("a") == F.col("u")) & (F.col("b") == F.col("v")))).select("a", "b")
+        derived = known.join(pivots.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("overlap").alias("o")), ["u", "v"], "left")
+        # sets of one family share a pivot: what they share lies in it or outside it
+        most = F.when(F.col("u") == F.col("v"), F.least("o_a", "o_b") + F.least("d_a", "d_b")).otherwise(F.col("o") + F.col("d_a") + F.col("d_b"))
+        answered = (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")) & (F.col("u") != F.col("v"))
+        left = derived.filter((most >= least) & ~answered).select("a", "b", F.col("p_a").alias("fa"), F.col("p_b").alias("fb"))
         more = self.compare(stored(left))
         links = links.union(pivots.filter("linked").select("a", "b")).union(more.filter("linked").select("a", "b"))
         whole = stored(smallest_reachable(links))

@@ -40,7 +40,7 @@ def test_equals_brute_force(spark, texts):
     for r in out:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id]), r
-    assert len({want[i] for i in range(100, 150)}) < 25 and want[303] == want[304] != want[305]
+    assert 5 < len({want[i] for i in range(100, 150)}) < 45 and want[303] == want[304] != want[305]
 
 
 def test_lists_between_components(texts):
