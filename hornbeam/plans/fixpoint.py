@@ -77,6 +77,7 @@ class SemiNaive:
         if not graph.is_stratifiable:
             raise E.NotStratifiable(", ".join(f"{e.source} needs the negation of {e.target}" for e in graph.edges if e.negative and (e.source == e.target or e.source in graph.reachable(e.target))))
         schemas = program.typed()
+        self._kept: set[str] = set()  # relations of ``done`` that are stored
         done = {p: program.frame(p, spark) for p in program.extensional}
         out: dict[str, DataFrame] = {}
         for group in graph.components():
@@ -89,6 +90,7 @@ class SemiNaive:
             else:
                 out |= self._solve(spark, set(group), mine, done, schemas)
             done |= {p: out[p] for p in group}
+            self._kept |= set(group) if len(group) > 1 or group[0] in graph.reachable(group[0]) else set()
         for p in program.intensional:
             if p not in out:
                 out[p] = spark.createDataFrame([], schemas[p].spark())
@@ -106,6 +108,11 @@ class SemiNaive:
         loop = [r for r in rules if inner(r)]
         if self.doubling and (double := closure_rule(rules, group)):
             loop = [double]
+        # what every round reads is computed once
+        for p in sorted({a.predicate for r in loop for a in (*r.positive_atoms, *r.negative_atoms)} - group):
+            if p not in self._kept:
+                done[p], _ = Steps(spark, schemas[p].spark()).add(done[p])
+                self._kept.add(p)
         fresh, live = {}, set()
         for p in group:
             parts = [self._apply(spark, r, done) for r in base if r.head[0].predicate == p]
