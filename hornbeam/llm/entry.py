@@ -27,5 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat.OP1_SQL,
+        "op4_ngram_jaccard": jaccard.OP4_SQL,
         "op7_exact_top_k": mtree.OP7_SQL,
+        "op8_quality_rules": quality.OP8_SQL,
     }

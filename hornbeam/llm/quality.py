@@ -117,3 +117,24 @@ def filter_documents(docs: DataFrame, limits: Limits = Limits(), host: str = "so
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g JOIN twice USING (doc_id, g)) GROUP BY 1),
+l AS (SELECT doc_id, source, t, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw, lower(array_to_string(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), ' ')) AS norm
+      FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS l FROM d)),
+hosts AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
+freq AS (SELECT f.source, f.norm FROM (SELECT source, norm, count(DISTINCT t) AS n FROM l WHERE nw > 0 GROUP BY 1, 2) f
+         JOIN hosts h ON h.source IS NOT DISTINCT FROM f.source WHERE f.n > 100 AND f.n > 0.03 * h.n),
+lines AS (SELECT l.doc_id, count(*) - count(DISTINCT l.l) AS dup, coalesce(sum(nw) FILTER (freq.norm IS NOT NULL), 0) AS cut
+          FROM l LEFT JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.norm = freq.norm WHERE nw > 0 GROUP BY 1),
+f AS (SELECT w.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(cut, 0) AS cut
+      FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (cut > 0 AND n_words - cut <= 0.3 * n_words) AS kept FROM f
+"""
