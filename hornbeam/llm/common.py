@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +80,3 @@ def smallest_reachable(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component_id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots).groupBy("id").agg(F.min("component_id").alias("component_id"))
 
-
-def all_of(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, parts)
