@@ -7,7 +7,8 @@ A document's set holds its distinct word shingles, as 64-bit hashes. Two documen
 2. Tokens are put in one global order: frequent ones last, by counts that scan tasks collect; a set's prefix of n - ceil(t n) + 1 tokens
    must meet the prefix of every set that it links with. The order matters for speed only.
 3. Prefix tokens form index lists by token. Entries hold size and position; a list is walked in blocks of
-   one size, and what the positions rule out is skipped without a look (block skipping).
+   one size, blocks of sizes that cannot link are skipped, and a pair needs one token whose positions in both sets leave
+   enough behind it. Up to the last token that two prefixes share, the positions tell how many tokens they do not share.
 4. Each set is first compared with one pivot: the set that heads most of its lists. Links to pivots give
    stars, and sets of one component need no further comparison.
 5. Between components, answers are derived: |x and y| <= |p and q| + |x - p| + |y - q| for the pivots p of x and q of y,
@@ -182,7 +183,8 @@ def _overlaps(percent: int) -> Callable:
 
 
 def _between(percent: int) -> Callable:
-    """Of rows sorted by token, n and at: pairs of one list from different components that sizes and positions allow."""
+    """Of rows sorted by token, n and at: (a, b, ia, ib, open) for two entries of one list from different components, with
+    their positions, and whether these allow a link if the token is the first that the sets share."""
 
     def pairs(ids, n, at, label):
         if (label == label[0]).all():
@@ -191,18 +193,15 @@ def _between(percent: int) -> Callable:
         ends = np.append(starts[1:], len(n))
         for b, (s, e) in enumerate(zip(starts, ends, strict=True)):
             size = int(n[s])
-            for c in range(b, len(starts)):
-                other = int(n[starts[c]])
-                least = int(need(size, other, percent))
-                if 100 * size < percent * other:
-                    break  # larger blocks are too large
-                mine = s + int(np.searchsorted(at[s:e], size - least, "right"))  # what follows in either block is skipped
-                theirs = starts[c] + int(np.searchsorted(at[starts[c] : ends[c]], other - least, "right"))
-                for i in range(s, mine):
-                    j = np.arange(max(i + 1, starts[c]), theirs)
-                    j = j[label[j] != label[i]]
-                    if len(j):
-                        yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
+            stop = int(np.searchsorted(n, 100 * size // percent, "right"))  # larger blocks are skipped
+            later = np.arange(s, stop)
+            least = need(size, n[s:stop].astype(np.int64), percent)
+            for i in range(s, e):
+                j = later[i + 1 - s :][label[i + 1 : stop] != label[i]]
+                if len(j):
+                    free = (at[i] <= size - least[j - s]) & (at[j] <= n[j] - least[j - s])
+                    less = ids[j] < ids[i]
+                    yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), np.where(less, at[j], at[i]), np.where(less, at[i], at[j]), free
 
     def work(batches):
         held: list[np.ndarray] | None = None
@@ -225,10 +224,10 @@ def _between(percent: int) -> Callable:
                         out.append(found)
                         size += len(found[0])
                         if size > 100_000:
-                            yield _batch("a b", *[np.concatenate([o[i] for o in out]) for i in (0, 1)])
+                            yield _batch("a b ia ib open", *[np.concatenate([o[i] for o in out]) for i in range(5)])
                             out, size = [], 0
             if out:
-                yield _batch("a b", *[np.concatenate([o[i] for o in out]) for i in (0, 1)])
+                yield _batch("a b ia ib open", *[np.concatenate([o[i] for o in out]) for i in range(5)])
             held = [c[edges[-2] :] for c in cols]
 
     return work
@@ -309,17 +308,17 @@ class Join:
         labelled = lists.join(label, "id", "left").select("token", "n", "at", "id", F.coalesce("component_id", "id").alias("label"))
         spread = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
         open_lists = labelled.join(spread, "token", "left_semi").select("token", "id", "n", "at", "label")
-        pairs = stored(open_lists.repartition("token").sortWithinPartitions("token", "n", "at", "id").mapInArrow(_between(percent), "a long, b long").distinct())
+        pairs = stored(open_lists.repartition("token").sortWithinPartitions("token", "n", "at", "id").mapInArrow(_between(percent), "a long, b long, ia int, ib int, open boolean").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), F.max("open").alias("open")).filter("open"))
         sizes = reps.join(rows.select("hi", "lo", "n").distinct(), ["hi", "lo"]).select(F.col("rep").alias("id"), "n")
         side = lambda s: sizes.join(own, "id", "left").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.coalesce("pivot", "id").alias(f"p_{s}"), F.coalesce("overlap", "n").alias(f"o_{s}"), (F.col("n") - F.coalesce("overlap", "n")).alias(f"d_{s}"))
-        known = stored(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", F.least("p_a", "p_b")).withColumn("v", F.greatest("p_a", "p_b")))
+        # up to the last token that two prefixes share, what they do not share is known: too much of it rules a link out
+        known = stored(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", F.least("p_a", "p_b")).withColumn("v", F.greatest("p_a", "p_b")).withColumn("least", F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))).filter(F.col("ia") + F.col("ib") + 2 - 2 * F.col("c") <= F.col("n_a") + F.col("n_b") - 2 * F.col("least")))
         pivots = self.compare(stored(known.filter("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("u").alias("fa"), F.col("v").alias("fb")).distinct()))
-        least = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
         derived = known.join(pivots.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("overlap").alias("o")), ["u", "v"], "left")
         # sets of one family share a pivot: what they share lies in it or outside it
         most = F.when(F.col("u") == F.col("v"), F.least("o_a", "o_b") + F.least("d_a", "d_b")).otherwise(F.col("o") + F.col("d_a") + F.col("d_b"))
         answered = (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")) & (F.col("u") != F.col("v"))
-        left = derived.filter((most >= least) & ~answered).select("a", "b", F.col("p_a").alias("fa"), F.col("p_b").alias("fb"))
+        left = derived.filter((most >= F.col("least")) & ~answered).select("a", "b", F.col("p_a").alias("fa"), F.col("p_b").alias("fb"))
         more = self.compare(stored(left))
         links = links.union(pivots.filter("linked").select("a", "b")).union(more.filter("linked").select("a", "b"))
         whole = stored(smallest_reachable(links))
