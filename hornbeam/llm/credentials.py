@@ -9,7 +9,7 @@ kinds are shuffled. A join key is a document and a stretch of its text, so its g
 as a stretch, however many parts a document has; the joins are semi-joins and emit no pairs.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows get the same spans; spans that
-begin together go by kind as listed in KINDS; other columns pass through; an empty table gives an empty table.
+begin together go by kind as listed in KINDS; a linked part that overlaps a base span is not listed beside it; other columns pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -94,13 +94,14 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = (bare.rlike(KINDS["identifier"][0]) | bare.rlike(KINDS["access"][0])) & bare.rlike(KINDS["weak_secret"][0]) & bare.rlike(KINDS["endpoint"][0])
     found = docs.withColumn("base", F.sort_array(F.concat(*[spans(bare, k) for k in BASE])))
     overlaps = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    found = found.withColumn("__weak", F.when(whole, F.filter(weak[0], lambda x: ~overlaps(x)))).withColumn("__key", F.when(whole, F.xxhash64(F.col("doc_id"), bare)))
+    # parts that a base span covers link others too; they are only not reported twice
+    found = found.withColumn("__weak", F.when(whole, weak[0])).withColumn("__key", F.when(whole, F.xxhash64(F.col("doc_id"), bare)))
     each = found.filter("__key IS NOT NULL").select("__key", F.explode(F.concat("__weak", F.filter("base", lambda x: x["kind"] == 1))).alias("x"))
     parts = each.select(F.col("__key").alias("key"), "x.start", "x.kind", "x.end").distinct()
     added = linked_parts(parts).groupBy(F.col("key").alias("__near")).agg(F.collect_set(F.struct("start", "kind", "end")).alias("__added"))
     # only documents with weak parts meet the join
     plain = found.filter("__key IS NULL").withColumn("spans", F.col("base"))
-    joined = found.filter("__key IS NOT NULL").join(added, F.col("__key") == F.col("__near"), "left").withColumn("spans", F.sort_array(F.concat("base", F.coalesce("__added", F.array().cast(SPAN)))))
+    joined = found.filter("__key IS NOT NULL").join(added, F.col("__key") == F.col("__near"), "left").withColumn("spans", F.sort_array(F.concat("base", F.filter(F.coalesce("__added", F.array().cast(SPAN)), lambda x: ~overlaps(x)))))
     out = [*[c for c in docs.columns if c not in ("base", "spans")], "base", "spans"]
     return plain.select(*out).unionByName(joined.select(*out))
 

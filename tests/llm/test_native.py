@@ -113,3 +113,9 @@ def test_weak_parts_are_reported_only_together(spark):
     kinds = [[x.kind for x in out[i].spans] for i in range(len(texts))]
     assert kinds == [[3, 4, 5], [], [], [], [], [3, 4, 5], [1, 4, 5], [3, 4, 5]]
     assert credentials.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_weak_parts_under_base_spans_link_others(spark):
+    texts = ["client_id=0123456789abcdef0123 pass=hunter22 https://db.example.com/x", "user: alice1 pass=hunter22 https://api.example.com/0123456789abcdef", "user: alice1 pass=hunter22 https://db.example.com/?token=abcdefghijkl"]
+    out = check_spans(spark, texts)
+    assert [[x.kind for x in out[i].spans] for i in range(3)] == [[2, 4, 5], [3, 4, 2], [3, 4, 0]]
