@@ -68,18 +68,18 @@ def listed(found: Column) -> Column:
 def linked_parts(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Of parts (key, start, kind, end): the weak secrets with an identifier and an endpoint within the window, and those partners.
 
-    The interval join: a part stands in the stretch where it starts and in both neighbours, so parts that
-    can belong together share (key, stretch); the distance is tested exactly.
+    The interval join: a left part stands in every stretch that it reaches, a right part in every one within
+    the window of it, so all pairs that are close share (key, stretch); the distance is tested exactly.
     """
     number = {k: i for i, k in enumerate(KINDS)}
     of = lambda kinds: parts.filter(F.col("kind").isin(*[number[k] for k in kinds]))
-    near = lambda df: df.select("key", "start", "end", F.explode(F.array(*[F.floor(F.col("start") / window) + k for k in range(-2, 3)])).alias("stretch"))
+    reach = lambda df, by: df.withColumn("stretch", F.explode(F.sequence(F.floor((F.col("start") - by) / window), F.floor((F.col("end") + by) / window))))
     close = (F.col("a.start") - F.col("b.end") <= window) & (F.col("b.start") - F.col("a.end") <= window)
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = left.withColumn("stretch", F.floor(F.col("start") / window)).alias("a")
-        b = near(right).alias("b")
-        return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.stretch") == F.col("b.stretch")) & close, "left_semi").drop("stretch")
+        a, b = reach(left, 0).alias("a"), reach(right, window).alias("b")
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.stretch") == F.col("b.stretch")) & close, "left_semi")
+        return met.drop("stretch").distinct()  # a long part meets in several stretches
 
     # an access key is an identifier of its own
     identifiers, endpoints = of(("identifier", "access")), of(("endpoint",))

@@ -119,3 +119,20 @@ def test_weak_parts_under_base_spans_link_others(spark):
     texts = ["client_id=0123456789abcdef0123 pass=hunter22 https://db.example.com/x", "user: alice1 pass=hunter22 https://api.example.com/0123456789abcdef", "user: alice1 pass=hunter22 https://db.example.com/?token=abcdefghijkl"]
     out = check_spans(spark, texts)
     assert [[x.kind for x in out[i].spans] for i in range(3)] == [[2, 4, 5], [3, 4, 2], [3, 4, 0]]
+
+
+def test_parts_of_any_length_meet(spark):
+    rng, rows = random.Random(6), set()
+    for key in range(150):
+        for kind in (1, 3, 4, 5):
+            for _ in range(2):
+                start = rng.randrange(8000)
+                rows.add((key, start, kind, start + rng.choice([10, 500, 880, 1180, 3000])))
+    rows |= {(200, 0, 3, 1200), (200, 1220, 4, 1240), (200, 1260, 5, 1300), (201, 0, 5, 3000), (201, 1500, 4, 1510), (201, 1400, 3, 1410)}
+    near = lambda x, y: x[0] == y[0] and x[1] - y[3] <= 400 and y[1] - x[3] <= 400
+    of = lambda *kinds: [x for x in rows if x[2] in kinds]
+    secrets = [x for x in of(4) if any(near(x, y) for y in of(1, 3)) and any(near(x, y) for y in of(5))]
+    want = {*secrets, *(x for x in of(3, 5) if any(near(x, y) for y in secrets))}
+    parts = spark.createDataFrame(sorted(rows), "key long, start int, kind int, end int")
+    got = [(r.key, r.start, r.kind, r.end) for r in credentials.linked_parts(parts).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
