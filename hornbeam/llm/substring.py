@@ -4,8 +4,12 @@ Every run of several consecutive sentences is hashed; a run that stands in more
 where it comes first (by document id, then by place), and the sentences that its other places cover are removed.
 
 A run has at least RUN sentences and RUN_WORDS words, so runs of very short sentences are longer and do
-not repeat by chance. A sentence ends at . ! or ? before white space, or at a line break; sentences of over
-LONG words also end after words that a hash chooses, so long ones are cut alike wherever they stand.
+not repeat by chance. For each sentence, the shortest run that begins there and the shortest that ends there
+are hashed, so a passage is covered up to both of its ends. A sentence ends at . ! or ? before white space, or
+at a line break; sentences of over LONG words also end after the word of least hash in each WINDOW words, so
+long ones are cut alike wherever they stand, into pieces of at most WINDOW words. Two places of a passage cut
+it alike but for 13 words at its start and 12 at its end, at most; of over 50 words at least 26 are left, more
+than two sentences can hold, so a whole run stands in every such passage that white space sets off.
 
 Shuffles: runs by hash (partial sums first, so a run in a third of all documents is one row for each task), the
 same runs against the repeated hashes (a skewed hash meets one row, so the large side can be split), and
@@ -31,10 +35,27 @@ from pyspark.sql import functions as F
 from hornbeam.llm.common import table
 
 RUN, RUN_WORDS, LONG = 3, 20, 12
+#: Of so many words in a row within a long sentence, one ends a piece.
+WINDOW = 7
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s|$)[^.!?\n]*)*(?:[.!?]+\s*|\n\s*|$)")
 _WORD = re.compile(r"\S+\s*")
 
 
+def least_of_windows(h: list[int]) -> list[int]:
+    """Where the least of WINDOW neighbours stands (the last of equals), for every such window."""
+    out, at = [], -1
+    for i in range(WINDOW - 1, len(h)):
+        if at <= i - WINDOW:
+            least, at = min(h[i - WINDOW + 1 : i + 1]), i
+            while h[at] != least:
+                at -= 1
+            out.append(at)
+        elif h[i] <= h[at]:
+            at = i
+            out.append(at)
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """Pieces that join to the text."""
     out = []
@@ -45,58 +66,69 @@ def sentences(text: str) -> list[str]:
         if s.count(" ") < LONG or len(s.split()) <= LONG:
             out.append(s)
             continue
-        at = 0
-        for w in _WORD.finditer(s):
-            if zlib.crc32(w[0].rstrip().encode()) % 6 == 0:
-                out.append(s[at : w.end()])
-                at = w.end()
+        words, at = list(_WORD.finditer(s)), 0
+        for k in least_of_windows([zlib.crc32(w[0].rstrip().encode()) for w in words]):
+            end = words[k].end()
+            out.append(s[at:end])
+            at = end
         if at < len(s):
             out.append(s[at:])
     return out
 
 
-def runs(pieces: list[str]) -> Iterator[tuple[int, int, int]]:
-    """(first, end, hash) of every run: from each sentence, the fewest that hold RUN sentences and RUN_WORDS words."""
+def runs(pieces: list[str]) -> list[tuple[int, int, int]]:
+    """(first, end, hash) of every run, by place: the fewest sentences that hold RUN sentences and RUN_WORDS words, from each sentence and up to each."""
     words = [p.split() for p in pieces]
-    sums = [0]
+    sums, n = [0], len(pieces)
     for w in words:
         sums.append(sums[-1] + len(w))
-    norm = [" ".join(w).lower() for w in words]
-    end = 0
-    for i in range(len(pieces)):
+    if n < RUN or sums[n] < RUN_WORDS:
+        return []
+    found, end, first = set(), 0, 0
+    for i in range(n - RUN + 1):
         end = max(end, i + RUN)
-        while end < len(pieces) and sums[end] - sums[i] < RUN_WORDS:
+        while end < n and sums[end] - sums[i] < RUN_WORDS:
             end += 1
-        if end > len(pieces) or sums[end] - sums[i] < RUN_WORDS:
-            return
-        yield i, end, xxhash.xxh3_64_intdigest(" ".join(norm[i:end]).encode()) - (1 << 63)
+        if sums[end] - sums[i] < RUN_WORDS:
+            break
+        found.add((i, end))
+    for end in range(RUN, n + 1):
+        while first < end - RUN and sums[end] - sums[first + 1] >= RUN_WORDS:
+            first += 1
+        if sums[end] - sums[first] >= RUN_WORDS:
+            found.add((first, end))
+    norm = [" ".join(w).lower().encode() for w in words]
+    whole, at = b" ".join(norm), [0]
+    for x in norm:
+        at.append(at[-1] + len(x) + 1)
+    return [(a, b, xxhash.xxh3_64_intdigest(whole[at[a] : at[b] - 1]) - (1 << 63)) for a, b in sorted(found)]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
-            ids, starts, hashes = [], [], []
+            ids, places, hashes = [], [], []
             for i, t in zip(whole.column(0)[at : at + 500].to_pylist(), whole.column(1)[at : at + 500], strict=True):
-                for a, _, h in runs(sentences(t.as_py())):
+                for k, (_, _, h) in enumerate(runs(sentences(t.as_py()))):
                     ids.append(i)
-                    starts.append(a)
+                    places.append(k)
                     hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["h", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], names=["h", "doc_id", "at"])
 
 
 def repeated_runs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, starts): where runs begin that stand earlier too."""
+    """(doc_id, places): the runs, by their number in the document, that stand earlier too."""
     found = docs.select("doc_id", F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_runs, "h long, doc_id long, at int")
-    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last")).filter("first <> last").select("h", "first")
+    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first")
     later = found.join(first, "h").filter(F.struct("doc_id", "at") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    return later.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the repeated sentences removed from the text, and n_removed (their number) added."""
     made = ["n_removed"]
     rest = [c for c in docs.columns if c not in (text, *made)]
-    later = repeated_runs(docs, text).toDF("__id", "__starts")
+    later = repeated_runs(docs, text).toDF("__id", "__places")
     joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias("__text")).join(later, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     head = docs.select(*[F.col(f"`{c}`") for c in rest])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema] + [f"`{text}` string", "n_removed int"])
@@ -106,14 +138,14 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts, gone = [], []
-                for t, starts in zip(batch.column(len(rest)), batch.column(len(rest) + 1), strict=True):
-                    t, starts = t.as_py(), starts.as_py()
+                for t, places in zip(batch.column(len(rest)), batch.column(len(rest) + 1), strict=True):
+                    t, places = t.as_py(), places.as_py()
                     cut = np.zeros(0, bool)
-                    if starts:  # most texts pass through without a look
-                        pieces, starts = sentences(t), set(starts)
+                    if places:  # most texts pass through without a look
+                        pieces, places = sentences(t), set(places)
                         cut = np.zeros(len(pieces), bool)
-                        for a, b, _ in runs(pieces):
-                            if a in starts:
+                        for k, (a, b, _) in enumerate(runs(pieces)):
+                            if k in places:
                                 cut[a:b] = True
                         t = "".join(p for p, c in zip(pieces, cut, strict=True) if not c)
                     gone.append(int(cut.sum()))

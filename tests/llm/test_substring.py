@@ -49,3 +49,27 @@ def test_equals_brute_force_and_catches_passages(spark):
         assert len(words & set(by[i].text.split())) < 0.25 * len(words)
     assert len(by[200].text) < 30 + 0.05 * len(docs[200])
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_of_over_50_words_are_caught_wherever_they_stand():
+    rng, whole, gone = random.Random(5), 0, 0
+    for k in range(1500):
+        plain = k % 2
+        passage, *around = (make(rng, n) for n in (rng.randrange(51, 61), *(rng.randrange(5, 40) for _ in range(4))))
+        passage = passage.replace(".", "") if plain else passage
+        texts = [f"{a} {passage} {b}" for a, b in (around[:2], around[2:])]
+        first, pieces = {h for *_, h in S.runs(S.sentences(texts[0]))}, S.sentences(texts[1])
+        cut = {i for a, b, h in S.runs(pieces) if h in first for i in range(a, b)}
+        assert cut, texts
+        whole += len(passage.split())
+        gone += sum(len(pieces[i].split()) for i in cut)
+    assert gone > 0.8 * whole
+
+
+def test_the_last_sentences_of_a_passage_go():
+    words = iter(range(1000))
+    line = lambda n: " ".join(f"w{next(words)}" for _ in range(n)) + ". "
+    passage = "".join(line(n) for n in (9, 9, 9, 9, 2, 2))
+    texts = [line(9) + passage + line(9) for _ in range(2)]
+    first, pieces = {h for *_, h in S.runs(S.sentences(texts[0]))}, S.sentences(texts[1])
+    assert {i for a, b, h in S.runs(pieces) if h in first for i in range(a, b)} == set(range(1, 7))
