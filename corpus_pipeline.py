@@ -24,11 +24,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("predicted = 0").select(*DOCUMENT_COLUMNS)
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key, which names one text: the id, and a hash for all but one of the texts of an id that has several; rows repeated by id and text are left out."""
+    again = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    once = docs.withColumn("__key", F.col("doc_id"))
+    if again.isEmpty():
+        return once
+    several = docs.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).withColumn("__print", F.xxhash64("text"))
+    least = several.groupBy("doc_id").agg(F.min("__print").alias("__least"))
+    key = F.when(F.col("__print") == F.col("__least"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))
+    several = several.join(least, "doc_id").withColumn("__key", key)
+    return stored(once.join(again, "doc_id", "left_anti").select(*once.columns).unionByName(several.select(*once.columns)))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of links, the document with the smallest id stays; rows without an id stay."""
-    found = jaccard.jaccard_components(docs, words=5, percent=80)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    """Of each component of links, one row stays, that with the smallest id; rows without an id stay.
+
+    Of rows repeated by id and text, one stays. Each text of an id with several is a document of its own:
+    one keeps the id as its key, the others take a hash of id and text, so texts that do not link all stay.
+    """
+    keyed = with_keys(docs.select(*DOCUMENT_COLUMNS))
+    found = jaccard.jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"), words=5, percent=80)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(gone, "__key", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

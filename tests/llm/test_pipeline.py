@@ -47,3 +47,15 @@ def test_stages(spark, corpus):
     assert {i for i in ids["near duplicates"]} == set(ids["source mixing"])
     assert sorted(ids["byte-level BPE"], key=str) == sorted(ids["source mixing"], key=str)
     assert all(r.n_tokens == len(r.ids) for r in seen["byte-level BPE"])
+
+
+def test_one_row_of_a_group_stays_when_ids_repeat(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(500)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, a + " end"), (3, b), (3, c), (4, c + " end"), (5, d), (5, d + " end"), (6, None), (6, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_near_duplicates(spark, docs, "")
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns
+    assert [x for x in left if x[0] in (1, 2)] == [(1, a)] and left.count((None, a)) == 2 and left.count((6, None)) == 1
+    assert (3, b) in left and len({(3, c), (4, c + " end")} & set(left)) == 1 and len({(5, d), (5, d + " end")} & set(left)) == 1 and len(left) == 7
