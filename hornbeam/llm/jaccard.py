@@ -3,31 +3,36 @@
 A document's set holds its distinct word shingles, as 64-bit hashes. Two documents link when
 |A and B| / |A or B| >= PERCENT / 100. The join is exact: no pair that links is lost.
 
-1. Equal sets are one node (a 128-bit print of the set), so copies are never compared.
-2. Tokens are put in one global order: frequent ones last, by counts that scan tasks collect; a set's prefix of n - ceil(t n) + 1 tokens
-   must meet the prefix of every set that it links with. The order matters for speed only.
-3. Prefix tokens form index lists by token. Entries hold size and position; a list is walked in blocks of
-   one size, blocks of sizes that cannot link are skipped, and a pair needs one token whose positions in both sets leave
-   enough behind it. Up to the last token that two prefixes share, the positions tell how many tokens they do not share.
-4. Each set is first compared with one pivot: the set that heads most of its lists. Links to pivots give
-   stars, and sets of one component need no further comparison.
-5. Between components, answers are derived: |x and y| <= |p and q| + |x - p| + |y - q| for the pivots p of x and q of y,
-   whose overlap is computed once, and |x and y| <= min(|x and p|, |y and p|) + min(|x - p|, |y - p|) if they share one;
-   only pairs that these bounds leave open are compared themselves.
-
-Style: numpy on Arrow batches, since prefixes and overlaps are array work. Lists are streamed in sorted order, not
-gathered, until step 5, where a list that spans components is held; the frequent-token order keeps such lists short.
-The broadcast list of frequent tokens has at most HOT entries, and the bitmaps that choose which documents
-to read sets of have a fixed size (a wrong bit costs time only). Links, sets and prints stay distributed.
+1. Equal sets are one node, named by a 64-bit print; a second print tells whether two sets ever share a name, and
+   then all is done again with another seed. Copies are never compared.
+2. Tokens are counted once over all different sets (shuffle 1, packed, 6 bytes a token) and told to the sets that hold them if
+   more than one set does (shuffle 2). Each set orders its tokens: those that no other set has, then by rising count, then
+   those that a chunk of the scan met HOT times or more, which are never gathered. A set's prefix of n - ceil(t n) + 1
+   tokens must meet the prefix of every set that it links with, in this one global order.
+3. Prefix tokens that several sets have form index lists by token, with size and position. Lists are cut into cells by bands of
+   sizes that can link, and long ones by blocks; in a cell, blocks of sizes that cannot link are skipped, and a
+   pair needs one token whose positions in both sets leave enough behind it.
+4. Each set is first compared with one pivot: of the sets that head its lists, that with the smallest share of tokens of
+   its own. Links to pivots give stars; sets of one component need no further comparison.
+5. Between components, answers are derived: |x and y| <= min(|x and p|, |y and p|) + min(|x - p|, |y - p|) for a pivot p that
+   x and y share, before a pair leaves its list; |x and y| <= |p and q| + |x - p| + |y - q| for different pivots, whose
+   overlap is computed once for all sets of the two families; only pairs that these leave open are compared themselves.
+
+Style: numpy on Arrow batches, since prefixes and overlaps are array work. What a task holds is bounded: a chunk of
+CHUNK tokens, a group of about GROUP bytes of text (groups grow in number, not in size; above FAN groups they are dealt in two
+passes), one cell of a list, or blocks of about 2 * FAMILY tokens of the sets compared. A bitmap of fixed size
+chooses which documents to read sets of (a wrong bit costs time only). Links, sets, counts and prints stay distributed.
 
 Defined cases: a null or wordless text has an empty set, no link, and is its own component; fewer words than a shingle make one
-shingle; repeated rows are equal sets (an id names one text); a row with a null id links with nothing and has a null component; ties
-go to smaller ids; other columns are ignored; an empty table gives an empty table.
+shingle; repeated rows are equal sets; texts that share an id are sets of their own; a row with a null id links with nothing and
+has a null component; ties go to smaller ids; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +43,12 @@ from pyspark.sql import functions as F
 from hornbeam.llm.common import smallest_reachable, stored, table
 
 WORDS, PERCENT = 4, 85
-#: Frequent tokens that are moved to the end of the order; tokens counted at a time; a count that is worth telling.
-HOT, CHUNK, TOLD = 1 << 17, 1 << 21, 3
-#: Bits of the bitmaps that choose documents; sets in a block of a family, about.
-BITS, CELL = 1 << 24, 256
+#: Tokens that a scan task packs at a time; sets of a chunk from which a token is hot; bytes of text for each group; groups dealt at once.
+CHUNK, HOT, GROUP, FAN = 1 << 20, 8, 16 << 20, 1 << 12
+#: Bits of the bitmaps that choose documents; list entries in a block of a cell; tokens in a block of a family, about.
+BITS, CELL, FAMILY = 1 << 24, 4096, 1 << 20
+#: The count of hot tokens, above all others.
+MOST = 65535
 
 
 def tokens(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -62,7 +69,11 @@ def tokens(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def prefix(n: int, percent: int) -> int:
+def prints(s: np.ndarray, seed: int) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), seed), np.int64).tolist())
+
+
+def prefix(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
@@ -77,96 +88,210 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[tuple
             yield whole.column(0)[at : at + size].to_pylist(), whole.column(1)[at : at + size].to_pylist()
 
 
-def _batch(names: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
+#: Rows between the scan and the lists. kind 0: a document (a: id, n, b and c: prints). kind 1: a set (a: print, n, b: number of
+#: different tokens, x: its hot tokens). kind 2: tokens of a group (x: low halves, y: places in z, z: prints, w: hot low
+#: halves; told back: y counts, z one print for each token).
+PACKED = "kind byte, part long, a long, n long, b long, c long, x binary, y binary, z binary, w binary"
+_FIELDS = {"kind": pa.int8(), "part": pa.int64(), "a": pa.int64(), "n": pa.int64(), "b": pa.int64(), "c": pa.int64(), "x": pa.binary(), "y": pa.binary(), "z": pa.binary(), "w": pa.binary()}
 
 
-def _survey(words: int) -> Callable:
-    """Rows of documents (kind 0: id, n, print) and of tokens that a task has met often (kind 1: token, count)."""
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of (kind, part, a, n, b, c, x, y, z, w)."""
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(_FIELDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FIELDS.values(), strict=True)], names=list(_FIELDS))
 
-    def work(batches):
-        seen: set[bytes] = set()
-        parts: list[np.ndarray] = []
-        held = 0
 
-        def tell():
-            t, c = np.unique(np.concatenate(parts), return_counts=True)
-            t, c = t[c >= TOLD], c[c >= TOLD]
-            return _batch("kind a n hi lo", np.ones(len(t), np.int8), t.view(np.int64), c.astype(np.int64), np.zeros(len(t), np.int64), np.zeros(len(t), np.int64))
+def _joined(values: list, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(v for v in values if v), kind)
 
-        for ids, texts in _texts(batches):
-            rows = []
-            for i, t in zip(ids, texts, strict=True):
-                s = tokens(t, words)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((i, len(s), *np.frombuffer(d, np.int64).tolist()))
-                if d not in seen and len(s):
-                    seen.add(d)
-                    parts.append(s)
-                    held += len(s)
-            yield _batch("kind a n hi lo", np.zeros(len(rows), np.int8), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)])
-            if held >= CHUNK:
-                yield tell()
-                parts, held = [], 0
-                seen = seen if len(seen) < 200_000 else set()
-        if parts:
-            yield tell()
 
-    return work
+def _ids(flat: np.ndarray, groups: int) -> np.ndarray:
+    """Tokens as numbers: the group, by the high half, and the low half. A clash only makes bounds looser."""
+    return ((flat >> np.uint64(32)) * np.uint64(groups) & ~np.uint64(0xFFFFFFFF) | flat & np.uint64(0xFFFFFFFF)).view(np.int64)
+
 
+def _dealt(ids: np.ndarray, of: np.ndarray, names: np.ndarray, hot: np.ndarray, deal: int) -> Iterator[tuple]:
+    """Rows of kind 2 for sorted ids; ``of`` gives each one's place in ``names``, and ``deal`` groups share a part."""
+    part, hot_part = (ids >> 32) // deal, (hot >> 32) // deal
+    # tokens keep their group beside the low half while several groups share a part
+    tell = lambda t: t.astype(np.uint32).tobytes() if deal == 1 else t.tobytes()
+    for g in np.union1d(part, hot_part).tolist():
+        s, e = np.searchsorted(part, [g, g + 1])
+        hs, he = np.searchsorted(hot_part, [g, g + 1])
+        own, at = np.unique(of[s:e], return_inverse=True)
+        yield (2, g, g, len(own), 0, 0, tell(ids[s:e]), at.astype(np.uint32 if len(own) > MOST else np.uint16).tobytes(), names[own].tobytes(), tell(hot[hs:he]))
 
-def _entries(words: int, percent: int, sent) -> Callable:
-    """(token, id, n, at) of every prefix; a set that a task has met already is left out there."""
+
+def _tabled(work: Callable, fields: dict) -> Callable:
+    """What a group's work yields, as one table."""
+    schema = pa.schema(list(fields.items()))
+    return lambda key, rows: pa.Table.from_batches(work(key, rows), schema)
+
+
+def _scan(words: int, groups: int, deal: int, seed: int) -> Callable:
+    """(doc_id, text) to rows of kinds 0, 1 and 2. A set that a task has met already is not sent again."""
+
+    def tell(held: list[tuple[int, np.ndarray]]):
+        names = np.array([h[0] for h in held], np.int64)
+        sizes = np.array([len(h[1]) for h in held])
+        flat, of = np.concatenate([h[1] for h in held]), np.repeat(np.arange(len(held)), sizes)
+        ids = _ids(flat, groups)
+        order = np.argsort(ids, kind="stable")
+        ids, of = ids[order], of[order]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        counts = np.diff(np.append(starts, len(ids)))
+        is_hot = np.repeat(counts >= HOT, counts)
+        heads = ids[starts[counts >= HOT]]
+        # by set: how many different tokens its numbers make, and its hot tokens
+        again = (ids[1:] == ids[:-1]) & (of[1:] == of[:-1])
+        different = sizes - np.bincount(of[1:][again], minlength=len(held))
+        hot, mine = ids[is_hot], of[is_hot]
+        order = np.argsort(mine, kind="stable")
+        hot, edges = hot[order], np.searchsorted(mine[order], np.arange(len(held) + 1))
+        rows = [(1, int(k % groups), int(k.view(np.int64)), int(n), int(d), 0, hot[edges[i] : edges[i + 1]].tobytes(), b"", b"", b"") for i, (k, n, d) in enumerate(zip(names.view(np.uint64), sizes, different, strict=True))]
+        yield _packed(rows)
+        yield _packed(list(_dealt(ids[~is_hot], of[~is_hot], names, heads, deal)))
 
     def work(batches):
-        hot, rank = sent.value
-        seen: set[bytes] = set()
+        seen: set[int] = set()
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
         for ids, texts in _texts(batches):
-            out: list[list] = [[], [], [], []]
+            rows = []
             for i, t in zip(ids, texts, strict=True):
                 s = tokens(t, words)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                if i is None or not len(s) or d in seen:
-                    continue
-                seen.add(d)
-                p = prefix(len(s), percent)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    is_hot = hot[at] == s
-                    late = s[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]
-                    s = np.concatenate([s[~is_hot], late])
-                out[0].append(s[:p].view(np.int64))
-                out[1].append(np.full(p, i, np.int64))
-                out[2].append(np.full(p, len(s), np.int32))
-                out[3].append(np.arange(p, dtype=np.int32))
-            if out[0]:
-                yield _batch("token id n at", *[np.concatenate(o) for o in out])
+                hi, lo = prints(s, seed)
+                rows.append((0, (hi ^ lo ^ (i or 0)) % groups, i, len(s), hi, lo, b"", b"", b"", b""))
+                if i is not None and len(s) and hi not in seen:
+                    seen.add(hi)
+                    held.append((hi, s))
+                    size += len(s)
+                    if size >= CHUNK:
+                        yield from tell(held)
+                        held, size = [], 0
+            yield _packed(rows)
+            seen = seen if len(seen) < 200_000 else set()
+        if held:
+            yield from tell(held)
 
     return work
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token: those whose token has another row; one row is held between batches."""
-    last, lone = None, False  # the row before, and whether it has no twin so far
-    names = "token id n at"
+def _deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 2 whose parts hold several groups to rows of one group each; sorted by part."""
+
+    def tell(held):
+        ids, of, names, hot = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.argsort(ids, kind="stable")
+        yield _packed(list(_dealt(ids[order], of[order], names, np.unique(hot), 1)))
+
+    held, size, part, base = [], 0, None, 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = batch.column(0).to_numpy()
-        same = t[1:] == t[:-1]
-        keep = np.zeros(len(t), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if last is not None and last.column(0)[0].as_py() == t[0]:
-            keep[0] = True
-            if lone:
-                yield last
-        yield _batch(names, *batch.filter(pa.array(keep)).columns)
-        last, lone = batch.slice(len(t) - 1, 1), not keep[-1]
+        plain = []
+        for row in batch.to_pylist():
+            if row["kind"] != 2:
+                plain.append(tuple(row.values()))
+                continue
+            if held and (row["part"] != part or size >= CHUNK):
+                yield from tell(held)
+                held, size, base = [], 0, 0
+            part = row["part"]
+            names = np.frombuffer(row["z"], np.int64)
+            at = np.frombuffer(row["y"], np.uint32 if len(names) > MOST else np.uint16).astype(np.int64)
+            held.append((np.frombuffer(row["x"], np.int64), at + base, names, np.frombuffer(row["w"], np.int64)))
+            base += len(names)
+            size += len(at)
+        if plain:
+            yield _packed(plain)
+    if held:
+        yield from tell(held)
+
+
+def _count(groups: int) -> Callable:
+    """One group: how many sets have each token, told to the sets; tokens of one set only are left out."""
+
+    def work(key: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        kinds = rows["kind"].to_numpy()
+        yield from rows.filter(pa.array(kinds != 2)).to_batches()
+        mine = rows.filter(pa.array(kinds == 2))
+        if not mine.num_rows:
+            return
+        names = [np.frombuffer(z, np.int64) for z in mine["z"].to_pylist()]
+        of = np.concatenate([z[np.frombuffer(y, np.uint32 if len(z) > MOST else np.uint16)] for z, y in zip(names, mine["y"].to_pylist(), strict=True)])
+        low, hot = _joined(mine["x"].to_pylist(), np.uint32), np.unique(_joined(mine["w"].to_pylist(), np.uint32))
+        order = np.argsort(low, kind="stable")
+        low, of = low[order], of[order]
+        # most tokens stand alone: only the others are sorted by set
+        same = low[1:] == low[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if len(hot):
+            shared |= hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        low, of = low[shared], of[shared]
+        order = np.lexsort((of, low))
+        low, of = low[order], of[order]
+        fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (of[1:] != of[:-1])]) if len(low) else np.zeros(0, bool)
+        low, of = low[fresh], of[fresh]  # one set may come from several tasks
+        _, at, n = np.unique(low, return_inverse=True, return_counts=True)
+        count = np.minimum(n, MOST - 1)[at]
+        if len(hot) and len(low):
+            count[hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low] = MOST
+        keep = count > 1
+        low, of, count = low[keep], of[keep], count[keep].astype(np.uint16)
+        part = (of.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((of, part))
+        low, of, count, part = low[order], of[order], count[order], part[order]
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else [0]
+        g = key[0].as_py()
+        yield _packed([(2, int(part[s]), g, 0, 0, 0, low[s:e].tobytes(), count[s:e].tobytes(), of[s:e].tobytes(), b"") for s, e in zip(edges[:-1], edges[1:], strict=True)])
+
+    return work
+
+
+#: kind 0: a document (a: id, n, b and c: prints). kind 2: a list entry (a: token, b: set, n, at, rare: the share of tokens of its own).
+LISTED = "kind byte, a long, n long, b long, c long, at int, rare double"
+_LISTED = {"kind": pa.int8(), "a": pa.int64(), "n": pa.int64(), "b": pa.int64(), "c": pa.int64(), "at": pa.int32(), "rare": pa.float64()}
+
+
+def _prefixes(percent: int) -> Callable:
+    """The sets of one part: the entries of their prefixes."""
+
+    def work(_: tuple, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        def batch(kind: int, a, n, b, c, at, rare):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.full(len(n), kind), a, n, b, c, at, rare), _LISTED.values(), strict=True)], names=list(_LISTED))
+
+        kinds = rows["kind"].to_numpy()
+        docs = rows.filter(pa.array(kinds == 0))
+        if docs.num_rows:
+            none = np.zeros(docs.num_rows)
+            yield batch(0, docs["a"].to_pylist(), docs["n"].to_numpy(), docs["b"].to_numpy(), docs["c"].to_numpy(), none.astype(np.int32), none)
+        own = rows.filter(pa.array(kinds == 1))
+        if not own.num_rows:
+            return
+        names, first = np.unique(own["a"].to_numpy(), return_index=True)
+        sizes, different = own["n"].to_numpy()[first], own["b"].to_numpy()[first]
+        hot = own["x"].to_pylist()
+        told = rows.filter(pa.array(kinds == 2))
+        lows = [np.frombuffer(x, np.uint32).astype(np.int64) for x in told["x"].to_pylist()]
+        ids = [low | g << 32 for low, g in zip(lows, told["a"].to_pylist(), strict=True)] + [_joined(hot, np.int64)]
+        of = [_joined(told["z"].to_pylist(), np.int64), np.repeat(own["a"].to_numpy(), [len(h) // 8 for h in hot])]
+        count = [_joined(told["y"].to_pylist(), np.uint16), np.full(len(ids[-1]), MOST, np.uint16)]
+        ids, of, count = np.concatenate(ids), np.searchsorted(names, np.concatenate(of)), np.concatenate(count)
+        order = np.lexsort((ids, count, of))
+        ids, of = ids[order], of[order]
+        fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])]) if len(ids) else np.zeros(0, bool)
+        ids, of = ids[fresh], of[fresh]
+        known = np.bincount(of, minlength=len(names))
+        alone = different - known  # tokens that no other set has come first
+        at = np.arange(len(of)) - np.searchsorted(of, of) + alone[of]
+        keep = at < prefix(sizes[of], percent)
+        ids, of, at = ids[keep], of[keep], at[keep]
+        yield batch(2, ids, sizes[of], names[of], np.zeros(len(of), np.int64), at.astype(np.int32), (alone / sizes)[of])
+
+    return work
 
 
 def _overlaps(percent: int) -> Callable:
-    """A cell's sets (cell, id, tokens) and pairs (cell, a, b) to (a, b, overlap, sizes, linked)."""
+    """A cell's sets (cell, id, tokens) and pairs (cell, a, b) to (a, b, overlap, linked)."""
 
     def work(sets: pa.Table, pairs: pa.Table) -> pa.Table:
         held = {i: np.frombuffer(t, np.uint64) for i, t in zip(sets["id"].to_pylist(), sets["tokens"].to_pylist(), strict=True)}
@@ -175,60 +300,60 @@ def _overlaps(percent: int) -> Callable:
             x, y = held[a], held[b]
             few, many = (x, y) if len(x) <= len(y) else (y, x)
             o = int((few == many[np.minimum(np.searchsorted(many, few), len(many) - 1)]).sum())
-            rows.append((a, b, o, len(x), len(y), 100 * o >= percent * (len(x) + len(y) - o)))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-        return pa.table({n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(("a", "b", "overlap", "na", "nb", "linked"))})
+            rows.append((a, b, o, 100 * o >= percent * (len(x) + len(y) - o)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        return pa.table({n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(("a", "b", "overlap", "linked"))})
 
     return work
 
 
+_CELL = "cell long, n long, at int, id long, label long, pivot long, o long, upper boolean, salt int, mixed boolean"
+
+
 def _between(percent: int) -> Callable:
-    """Of rows sorted by token, n and at: (a, b, ia, ib, open) for two entries of one list from different components, with
-    their positions, and whether these allow a link if the token is the first that the sets share."""
+    """Of rows sorted by cell, n and at: pairs (a, b) of different components that sizes, positions and a shared pivot leave open."""
 
-    def pairs(ids, n, at, label):
-        if (label == label[0]).all():
-            return
+    def pairs(n, at, ids, label, pivot, o, upper, salt, mixed):
         starts = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))  # blocks of one size, by position
         ends = np.append(starts[1:], len(n))
-        for b, (s, e) in enumerate(zip(starts, ends, strict=True)):
+        for s, e in zip(starts, ends, strict=True):
             size = int(n[s])
             stop = int(np.searchsorted(n, 100 * size // percent, "right"))  # larger blocks are skipped
-            later = np.arange(s, stop)
-            least = need(size, n[s:stop].astype(np.int64), percent)
-            for i in range(s, e):
-                j = later[i + 1 - s :][label[i + 1 : stop] != label[i]]
+            least = need(size, n[s:stop], percent)
+            last = int(np.searchsorted(at[s:e], size - least[0], "right"))  # later positions leave too little behind them
+            for i in range(s, s + last):
+                j = np.arange(i + 1, stop)
+                m = least[i + 1 - s :]
+                j = j[(label[j] != label[i]) & ~(upper[j] & upper[i]) & (~mixed[i] | (salt[j] != salt[i])) & (at[i] <= size - m) & (at[j] <= n[j] - m)]
+                # the pivot of one set has been compared with the other; a shared one tells how much both can share
+                most = np.where(pivot[j] == pivot[i], np.minimum(o[j], o[i]) + np.minimum(n[j] - o[j], size - o[i]), size)
+                j = j[(most >= least[j - s]) & (pivot[j] != ids[i]) & (ids[j] != pivot[i])]
                 if len(j):
-                    free = (at[i] <= size - least[j - s]) & (at[j] <= n[j] - least[j - s])
-                    less = ids[j] < ids[i]
-                    yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), np.where(less, at[j], at[i]), np.where(less, at[i], at[j]), free
+                    yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
 
     def work(batches):
         held: list[np.ndarray] | None = None
-        for batch in (*batches, None):
+        for batch in chain(batches, [None]):
             if batch is not None and not batch.num_rows:
                 continue
-            cols = [c.to_numpy() for c in batch.columns] if batch is not None else None
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None else None
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)] if cols is not None else held
             if cols is None:
                 return
             t = cols[0]
             edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
-            stop = len(edges) - 1 if batch is None else len(edges) - 2  # the last list may go on
-            out, size = [], 0
+            stop = len(edges) - 1 if batch is None else len(edges) - 2  # the last cell may go on
+            seen: set[tuple[int, int]] = set()
             for k in range(stop):
                 a, b = edges[k], edges[k + 1]
-                if b - a > 1:
-                    for found in pairs(*[c[a:b] for c in cols[1:]]):
-                        out.append(found)
-                        size += len(found[0])
-                        if size > 100_000:
-                            yield _batch("a b ia ib open", *[np.concatenate([o[i] for o in out]) for i in range(5)])
-                            out, size = [], 0
-            if out:
-                yield _batch("a b ia ib open", *[np.concatenate([o[i] for o in out]) for i in range(5)])
-            held = [c[edges[-2] :] for c in cols]
+                if (cols[4][a:b] != cols[4][a]).any():
+                    for x, y in pairs(*[c[a:b] for c in cols[1:]]):
+                        seen.update(zip(x.tolist(), y.tolist(), strict=True))
+                if len(seen) > 100_000 or (k == stop - 1 and seen):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*seen, strict=True)], names=["a", "b"])
+                    seen = set()
+            held = [c[edges[stop] :] for c in cols]
 
     return work
 
@@ -236,30 +361,41 @@ def _between(percent: int) -> Callable:
 class Join:
     """One join over ``docs`` (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text"):
+    def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", seed: int = 0):
         self.docs = docs.select("doc_id", F.col(text).cast("string").alias("text"))
-        self.words, self.percent = words, percent
+        self.words, self.percent, self.seed = words, percent, seed
         self.spark = docs.sparkSession
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, overlap, na, nb, linked) of stored pairs (a, b, fa, fb), where fa and fb name the families of a and b.
-
-        Families are cut into blocks of about CELL sets, and a cell is a pair of blocks. A set goes to each of its
+    def lists(self) -> DataFrame:
+        """Rows of LISTED: all documents, and the entries of all prefixes but tokens of one set only."""
+        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        groups = max(1, math.ceil(size / GROUP))
+        deal = math.ceil(groups / FAN)
+        sent = self.docs.mapInArrow(_scan(self.words, groups, deal, self.seed), PACKED)
+        if deal > 1:
+            sent = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_deal_again, PACKED)
+        told = sent.groupBy("part").applyInArrow(_tabled(_count(groups), _FIELDS), PACKED)
+        return stored(told.groupBy("part").applyInArrow(_tabled(_prefixes(self.percent), _LISTED), LISTED))
+
+    def compare(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """(a, b, overlap, linked) of stored pairs (a, b, na, nb, fa, fb), where fa and fb name the families of a and b.
+
+        Families are cut into blocks of about FAMILY tokens, and a cell is a pair of blocks. A set goes to each of its
         cells once, however many pairs it has there, so what moves follows the number of sets; a cell's size is bounded. Sets
         are made anew in one scan, for the documents that a bitmap names.
         """
-        blocks = pairs.select(F.col("fa").alias("f"), F.col("a").alias("id")).union(pairs.select("fb", "b")).distinct().groupBy("f").agg(F.ceil(F.count("*") / CELL).alias("blocks")).filter("blocks > 1")
+        blocks = pairs.select(F.col("fa").alias("f"), F.col("a").alias("id"), F.col("na").alias("n")).union(pairs.select("fb", "b", "nb")).distinct().groupBy("f").agg(F.ceil(F.sum("n") / FAMILY).alias("blocks")).filter("blocks > 1")
         for side in ("a", "b"):  # few families have more than one block
-            cut = blocks.select(F.col("f").alias(f"f{side}"), F.col("blocks").alias(f"n{side}"))
-            pairs = pairs.join(cut, f"f{side}", "left").withColumn(f"k{side}", F.pmod(F.xxhash64(side), F.coalesce(f"n{side}", F.lit(1))))
+            cut = blocks.select(F.col("f").alias(f"f{side}"), F.col("blocks").alias(f"n{side}s"))
+            pairs = pairs.join(cut, f"f{side}", "left").withColumn(f"k{side}", F.pmod(F.xxhash64(side), F.coalesce(f"n{side}s", F.lit(1))))
         celled = stored(pairs.select(F.xxhash64("fa", "ka", "fb", "kb").alias("cell"), "a", "b"))
-        members = celled.select("cell", F.col("a").alias("id")).union(celled.select("cell", "b")).distinct()
-        slot = F.pmod(F.xxhash64("id"), F.lit(BITS))
+        members = stored(celled.select("cell", F.col("a").alias("id")).union(celled.select("cell", "b")).distinct().join(reps.select(F.col("node").alias("id"), "rep"), "id"))
+        slot = F.pmod(F.xxhash64("rep"), F.lit(BITS))
         words = members.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 63).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 63 AS INT))")).alias("bits"))
         got = words.toArrow()  # at most BITS / 63 rows
         bits = np.zeros(BITS // 63 + 1, np.int64)
         bits[got["w"].to_numpy()] = got["bits"].to_numpy()
-        sent, k = self.spark.sparkContext.broadcast(bits), self.words
+        sent, k, seed = self.spark.sparkContext.broadcast(bits), self.words, self.seed
 
         def sets(batches):
             for whole in batches:
@@ -267,64 +403,78 @@ class Join:
                 hit = whole.filter(pa.array((sent.value[slots // 63] >> (slots % 63)) & 1 == 1))
                 for at in range(0, hit.num_rows, 500):
                     part = hit.slice(at, 500)
-                    yield _batch("id tokens", part.column(0), pa.array([tokens(t, k).tobytes() for t in part.column(1).to_pylist()], pa.binary()))
+                    made = [tokens(t, k) for t in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([prints(s, seed)[0] for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["rep", "id", "tokens"])
 
-        own = self.docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("slot")).mapInArrow(sets, "id long, tokens binary")
-        shipped = members.join(own, "id").select("cell", "id", "tokens")
-        return stored(shipped.groupBy("cell").cogroup(celled.toDF("at_cell", "a", "b").groupBy("at_cell")).applyInArrow(_overlaps(self.percent), "a long, b long, overlap int, na int, nb int, linked boolean"))
+        own = self.docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("slot")).mapInArrow(sets, "rep long, id long, tokens binary")
+        shipped = members.join(own, ["id", "rep"]).select("cell", "id", "tokens")
+        return stored(shipped.groupBy("cell").cogroup(celled.toDF("at_cell", "a", "b").groupBy("at_cell")).applyInArrow(_overlaps(self.percent), "a long, b long, overlap long, linked boolean"))
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        spark, percent = self.spark, self.percent
-        survey = stored(self.docs.mapInArrow(_survey(self.words), "kind byte, a long, n long, hi long, lo long"))
-        rows = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", "hi", "lo")
-        reps = stored(rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-        hot = survey.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(HOT).toArrow()
-        names, counts = hot["a"].to_numpy().view(np.uint64), hot["n"].to_numpy()
-        order = np.argsort(names)
-        rank = np.empty(len(names), np.int64)
-        rank[np.lexsort((names, counts))] = np.arange(len(names))
-        sent = spark.sparkContext.broadcast((names[order], rank[order]))
-
-        # index lists with at least two entries, of one entry for each different set
-        entries = self.docs.mapInArrow(_entries(self.words, percent, sent), "token long, id long, n int, at int")
-        lists = stored(entries.repartition("token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long, n int, at int"))
-        rep_of = rows.filter("doc_id IS NOT NULL AND n > 0").select(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "hi", "lo").join(reps, ["hi", "lo"]).select("id", "n", "rep").distinct()
-        lists = lists.join(rep_of, ["id", "n"]).select("token", F.col("rep").alias("id"), "n", "at").distinct()
-
-        # the head of a list is the set that most of its prefix shares; a set's pivot heads most of its lists
-        weight = lists.groupBy("id", "n").agg((F.count("*") * 1000 / F.greatest(F.lit(1), F.col("n"))).cast("long").alias("weight"))
-        lists = stored(lists.join(weight, ["id", "n"]))
-        heads = lists.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "n")).alias("head"), F.count("*").alias("size")).filter("size > 1").select("token", (-F.col("head.id")).alias("pivot"), F.col("head.n").alias("m"))
-        fits = (F.col("id") != F.col("pivot")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        stars = lists.join(heads, "token").filter(fits).groupBy("id", "pivot").agg(F.count("*").alias("k")).groupBy("id").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("best"))
-        pivot = -F.col("best.p")
-        star = self.compare(stored(stars.select(pivot.alias("a"), F.col("id").alias("b"), pivot.alias("fa"), pivot.alias("fb"))))
-        links = star.filter("linked").select("a", "b")
-        label = stored(smallest_reachable(links))
+        percent = self.percent
+        listed = self.lists()
+        rows = listed.filter("kind = 0").select(F.col("a").alias("doc_id"), "n", F.col("b").alias("node"), F.col("c").alias("second"))
+        reps = stored(rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("second").alias("x"), F.max("second").alias("y")))
+        if not reps.filter("x <> y").isEmpty():  # two sets share a print
+            return Join(self.docs, self.words, percent, seed=self.seed + 1).components()
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
+        entries = listed.filter("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("id"), "n", "at", "rare", band.alias("band"))
+
+        # a set's pivot: of the sets that head its lists in bands near its size, the one with the least share of tokens of its own
+        heads = entries.groupBy("token", "band").agg(F.min(F.struct("rare", "id", "n", "at")).alias("h"))
+        near = entries.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(heads, ["token", "band"])
+        least = F.ceil(percent * (F.col("n") + F.col("h.n")) / (100 + percent))
+        fits = (F.col("id") != F.col("h.id")) & (F.col("at") <= F.col("n") - least) & (F.col("h.at") <= F.col("h.n") - least)
+        best = near.filter(fits).groupBy("id", "n").agg(F.min(F.struct("h.rare", "h.id", "h.n")).alias("p"))
+        star = stored(best.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.col("p.id").alias("fa"), F.col("p.id").alias("fb")))
+        first = self.compare(star, reps)
+        label = stored(smallest_reachable(first.filter("linked").select("a", "b")))
+        own = stored(first.select(F.col("b").alias("id"), F.col("a").alias("pivot"), F.col("overlap").alias("o")))
 
         # what stands between components
-        own = star.select(F.col("b").alias("id"), F.col("a").alias("pivot"), "overlap")
-        labelled = lists.join(label, "id", "left").select("token", "n", "at", "id", F.coalesce("component_id", "id").alias("label"))
+        labelled = entries.select("token", "band", "n", "at", "id").join(label.withColumnRenamed("component_id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         spread = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("token")
-        open_lists = labelled.join(spread, "token", "left_semi").select("token", "id", "n", "at", "label")
-        pairs = stored(open_lists.repartition("token").sortWithinPartitions("token", "n", "at", "id").mapInArrow(_between(percent), "a long, b long, ia int, ib int, open boolean").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), F.max("open").alias("open")).filter("open"))
-        sizes = reps.join(rows.select("hi", "lo", "n").distinct(), ["hi", "lo"]).select(F.col("rep").alias("id"), "n")
-        side = lambda s: sizes.join(own, "id", "left").select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.coalesce("pivot", "id").alias(f"p_{s}"), F.coalesce("overlap", "n").alias(f"o_{s}"), (F.col("n") - F.coalesce("overlap", "n")).alias(f"d_{s}"))
-        # up to the last token that two prefixes share, what they do not share is known: too much of it rules a link out
-        known = stored(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", F.least("p_a", "p_b")).withColumn("v", F.greatest("p_a", "p_b")).withColumn("least", F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))).filter(F.col("ia") + F.col("ib") + 2 - 2 * F.col("c") <= F.col("n_a") + F.col("n_b") - 2 * F.col("least")))
-        pivots = self.compare(stored(known.filter("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("u").alias("fa"), F.col("v").alias("fb")).distinct()))
-        derived = known.join(pivots.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("overlap").alias("o")), ["u", "v"], "left")
-        # sets of one family share a pivot: what they share lies in it or outside it
-        most = F.when(F.col("u") == F.col("v"), F.least("o_a", "o_b") + F.least("d_a", "d_b")).otherwise(F.col("o") + F.col("d_a") + F.col("d_b"))
-        answered = (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")) & (F.col("u") != F.col("v"))
-        left = derived.filter((most >= F.col("least")) & ~answered).select("a", "b", F.col("p_a").alias("fa"), F.col("p_b").alias("fb"))
-        more = self.compare(stored(left))
-        links = links.union(pivots.filter("linked").select("a", "b")).union(more.filter("linked").select("a", "b"))
-        whole = stored(smallest_reachable(links))
-        named = rows.join(reps, ["hi", "lo"], "left").join(whole.withColumnRenamed("id", "rep"), "rep", "left")
+        pairs = stored(self.open_pairs(labelled.join(spread, "token", "left_semi").join(own, "id", "left").withColumn("pivot", F.coalesce("pivot", "id")).withColumn("o", F.coalesce("o", "n"))))
+        labels = label
+        if not pairs.isEmpty():
+            sizes = entries.select("id", "n").distinct()
+            side = lambda s: sizes.join(own, "id", "left").select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.coalesce("pivot", "id").alias(f"f{s}"), (F.col("n") - F.coalesce("o", "n")).alias(f"d{s}"))
+            known = stored(pairs.join(side("a"), "a").join(side("b"), "b"))
+            u, v = F.least("fa", "fb"), F.greatest("fa", "fb")
+            named = sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), sizes.select(F.col("id").alias("v"), F.col("n").alias("nv"))
+            met = known.filter("fa <> fb").select(u.alias("u"), v.alias("v")).distinct().join(named[0], "u").join(named[1], "v")
+            between = self.compare(stored(met.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("nu").alias("na"), F.col("nv").alias("nb"), F.col("u").alias("fa"), F.col("v").alias("fb"))), reps)
+            derived = known.withColumn("u", u).withColumn("v", v).join(between.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("overlap").alias("o")), ["u", "v"], "left")
+            most = F.coalesce(F.col("o") + F.col("da") + F.col("db"), F.least("na", "nb"))
+            answered = F.col("o").isNotNull() & (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v"))
+            open_ = derived.filter((most >= F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))) & ~answered).select("a", "b", "na", "nb", "fa", "fb")
+            more = between.union(self.compare(stored(open_), reps)).filter("linked").select("a", "b")
+            of = lambda s: F.coalesce(F.col(f"c{s}"), F.col(s)).alias(s)
+            for s in ("a", "b"):
+                more = more.join(label.select(F.col("id").alias(s), F.col("component_id").alias(f"c{s}")), s, "left")
+            merged = stored(smallest_reachable(more.select(of("a"), of("b"))))
+            joined = label.join(merged.select(F.col("id").alias("component_id"), F.col("component_id").alias("to")), "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
+            labels = stored(joined.union(merged.join(label, "id", "left_anti").select("id", "component_id")))
+
+        least_id = labels.join(reps, labels["id"] == reps["node"]).select("id", F.col("component_id").alias("label"), "rep")
+        named = least_id.join(least_id.groupBy("label").agg(F.min("rep").alias("least")), "label").select(F.col("id").alias("node"), "least")
+        whole = reps.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
         none = F.col("doc_id").isNull() | (F.col("n") == 0)
-        return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.coalesce("component_id", "rep")).alias("component_id"))
+        return rows.join(whole, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(none, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+    def open_pairs(self, entries: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) that lists of entries (token, band, n, at, id, label, pivot, o) leave open.
+
+        A cell holds a token's sets of one band and, as partners, those of the next; a long one is cut into blocks that meet pair by pair.
+        """
+        cells = entries.withColumn("upper", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", F.col("band") - F.col("upper").cast("int"))
+        many = cells.groupBy("token", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).filter("blocks > 1")
+        cells = cells.join(many, ["token", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cell = F.xxhash64("token", "band", F.least("salt", "other"), F.greatest("salt", "other")).alias("cell")
+        rows = cells.select(cell, "n", "at", "id", "label", "pivot", "o", "upper", "salt", (F.col("salt") != F.col("other")).alias("mixed"))
+        return rows.repartition("cell").sortWithinPartitions("cell", "n", "at", "id").mapInArrow(_between(self.percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:

@@ -63,3 +63,18 @@ def components(sets):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
+
+
+def same_as_sql(spark, folder, query, sql, **tables):
+    """The query over ``tables`` gives the rows that DuckDB gives for ``sql``."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS FROM '{folder}/{name}.parquet/*.parquet'")
+    out = query(spark, str(folder))
+    got = sorted(map(repr, map(tuple, out.collect())))
+    found = con.sql(sql)
+    assert sorted(found.columns) == sorted(out.columns)
+    assert got == sorted(map(repr, found.select(*[f'"{c}"' for c in out.columns]).fetchall())) and got
