@@ -35,6 +35,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The fold that no model learns from: crc32 of the id as text, modulo 4, is 2."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

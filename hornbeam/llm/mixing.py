@@ -33,12 +33,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import labelled_sample, stored, table
+from hornbeam.llm.common import labelled_sample, stored, table, unused
 from hornbeam.llm.quality import words_of
 
 DOMAINS = ("high", "low", "toxic")
-#: Labelled documents to learn from, at most about; marking words for each domain, at most.
-SAMPLE, MARKS = 6000, 150
+#: Labelled documents to learn from, at most about.
+SAMPLE = 6000
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def figures(text: Column, words: Column, marks: dict[str, list[str]]) -> dict[st
     }
     for domain, terms in marks.items():
         if terms:
-            out[f"marks_{domain}"] = F.least(F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in terms]))), F.lit(3)).cast("double")
+            out[f"marks_{domain}"] = F.least(F.size(F.array_intersect(words, F.split(F.lit(" ".join(terms)), " "))), F.lit(3)).cast("double")
     return out
 
 
@@ -100,22 +100,23 @@ def domain_of() -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """From about SAMPLE labelled rows at most; the driver gets MARKS words and a few sums for each domain."""
+    """From about SAMPLE labelled rows at most; the driver gets the words that mark a domain in them, and a few sums for each domain."""
     domains = labels.withColumn("domain", domain_of())
     sample = stored(labelled_sample(docs, domains, "domain", SAMPLE).withColumn("words", words_of(F.lower(F.coalesce(F.col("text"), F.lit(""))))))
     sizes = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:
         return Classifier({}, (), {})
-    # a word marks a domain if far more of its documents hold it than of the others
+    # a word marks a domain if far more of its documents hold it than of the others, by more than chance among so many words
     sets = F.array_distinct(F.transform("words", lambda w: F.btrim(w, F.lit(".,;:!?"))))
     held = sample.select("domain", F.explode(sets).alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS], F.count("*").alias("n")).filter("n >= 5 AND word <> ''")
-    marks = {}
+    held = stored(held)
+    marks, chance = {}, math.log(2 * max(held.count(), 1))
     for d in DOMAINS:
         if 0 < (k := sizes.get(d, 0)) < total:
             inside, outside = (F.col(d) + 0.5) / (k + 1), (F.col("n") - F.col(d) + 0.5) / (total - k + 1)
             gain = F.col(d) * F.log(inside / outside)
-            marks[d] = [r.word for r in held.filter(inside > 4 * outside).orderBy(gain.desc(), "word").limit(MARKS).collect()]
+            marks[d] = [r.word for r in held.filter((inside > 4 * outside) & (gain > chance)).select("word").orderBy("word").collect()]
     seen = figures(F.coalesce("text", F.lit("")), F.transform("words", lambda w: F.btrim(w, F.lit(".,;:!?"))), marks)
     cols = [a for k, c in seen.items() for a in (F.avg(c).alias(f"m_{k}"), F.var_pop(c).alias(f"v_{k}"))]
     rows = {r.domain: r for r in sample.groupBy("domain").agg(*cols).collect()}
@@ -126,13 +127,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
 def posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens (words) and posterior (an array as DOMAINS)."""
     bare = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = docs.withColumn("__words", F.transform(words_of(F.lower(bare)), lambda w: F.btrim(w, F.lit(".,;:!?"))))
-    df = df.withColumn("__x", F.array(*[c.cast("double") for c in figures(bare, F.col("__words"), model.marks).values()]) if model.stats else F.array().cast("array<double>"))
-    return df.withColumn("n_tokens", F.size("__words").cast("long")).withColumn("posterior", model.posteriors(F.col("__x"))).drop("__words", "__x")
+    words, x = unused(docs, "words"), unused(docs, "x")
+    df = docs.withColumn(words, F.transform(words_of(F.lower(bare)), lambda w: F.btrim(w, F.lit(".,;:!?"))))
+    df = df.withColumn(x, F.array(*[c.cast("double") for c in figures(bare, F.col(words), model.marks).values()]) if model.stats else F.array().cast("array<double>"))
+    return df.withColumn("n_tokens", F.size(words).cast("long")).withColumn("posterior", model.posteriors(F.col(x))).drop(words, x)
 
 
-def _fold(history: list[list[float]], momentum: list[float], step: float, penalty: float) -> Column:
-    """The (rate, point) of a document after the rounds so far; ``a`` is its column of A."""
+def _fold(a: Column, w: Column, history: list[list[float]], momentum: list[float], step: float, penalty: float) -> Column:
+    """The (rate, point) of a document after the rounds so far; ``a`` is its column of A, ``w`` its part of all tokens."""
     start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point"))
     if not history:
         return start
@@ -140,8 +142,8 @@ def _fold(history: list[list[float]], momentum: list[float], step: float, penalt
     rounds = F.from_json(F.lit(told), "array<struct<u:array<double>,m:double>>")  # one literal, however many rounds
 
     def go(s: Column, x: Column) -> Column:
-        slope = F.aggregate(F.zip_with(F.col("a"), x["u"], lambda a, u: a * u), F.lit(0.0), lambda p, q: p + q) + F.lit(penalty) * F.col("w") * (s["point"] - 1.0)
-        rate = F.greatest(F.lit(0.0), s["point"] - F.lit(step) * slope / F.col("w"))
+        slope = F.aggregate(F.zip_with(a, x["u"], lambda p, u: p * u), F.lit(0.0), lambda p, q: p + q) + F.lit(penalty) * w * (s["point"] - 1.0)
+        rate = F.greatest(F.lit(0.0), s["point"] - F.lit(step) * slope / w)
         return F.struct(rate.alias("rate"), (rate + x["m"] * (rate - s["rate"])).alias("point"))
 
     return F.aggregate(rounds, start, go)
@@ -156,7 +158,7 @@ def fit_rates(members: DataFrame, target: Target = Target()) -> dict:
     """
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
-        return {"residual": [0.0] * len(DOMAINS), "rounds": 0, "total": 0}
+        return {"residual": [0.0] * len(DOMAINS), "rounds": 0, "total": 0, "converged": True}
     weights = [max(0.0, target.weights.get(d, 0.0)) for d in DOMAINS]
     goal = [target.size * x / (sum(weights) or 1.0) for x in weights]
     w = F.greatest(F.col("n_tokens") / F.lit(float(total)), F.lit(1e-300))
@@ -169,9 +171,9 @@ def fit_rates(members: DataFrame, target: Target = Target()) -> dict:
     step = 1.0 / (top + target.penalty)
     history: list[list[float]] = []
     momentum: list[float] = []
-    t, residual, before = 1.0, [0.0] * len(DOMAINS), None
+    t, residual, before, settled = 1.0, [0.0] * len(DOMAINS), None, False
     for _ in range(target.rounds):
-        at = rows.withColumn("s", _fold(history, momentum, step, target.penalty))
+        at = rows.withColumn("s", _fold(F.col("a"), F.col("w"), history, momentum, step, target.penalty))
         got = at.agg(*[F.sum(F.get("a", i) * F.col("s.point")) for i in range(len(DOMAINS))]).first()
         residual = [g - b for g, b in zip(got, goal, strict=True)]
         ahead = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -179,9 +181,10 @@ def fit_rates(members: DataFrame, target: Target = Target()) -> dict:
         momentum.append((t - 1) / ahead)
         t = ahead
         if before and max(abs(a - b) for a, b in zip(residual, before, strict=True)) < target.close:
+            settled = True
             break
         before = residual
-    return {"residual": residual, "rounds": len(history), "total": total, "history": history, "momentum": momentum, "step": step, "goal": goal}
+    return {"residual": residual, "rounds": len(history), "total": total, "converged": settled, "history": history, "momentum": momentum, "step": step, "goal": goal}
 
 
 def mix(docs: DataFrame, labels: DataFrame, target: Target = Target(), text: str = "text") -> DataFrame:
@@ -191,13 +194,13 @@ def mix(docs: DataFrame, labels: DataFrame, target: Target = Target(), text: str
     return with_rates(members, fit_rates(members, target), target)
 
 
-def with_rates(members: DataFrame, report: dict, target: Target) -> DataFrame:
-    """``members`` (n_tokens, posterior and any other columns) with the rate that the rounds of a fit give."""
+def with_rates(members: DataFrame, report: dict, target: Target, rate: str = "rate") -> DataFrame:
+    """``members`` (n_tokens, posterior and any other columns), which should be stored, with the rate that the rounds of a fit give."""
     if not report["rounds"]:
-        return members.withColumn("rate", F.lit(1.0))
+        return members.withColumn(rate, F.lit(1.0))
     own = F.greatest(F.col("n_tokens") / F.lit(float(report["total"])), F.lit(1e-300))
-    fold = _fold(report["history"], report["momentum"], report["step"], target.penalty)
-    return members.withColumn("w", own).withColumn("a", F.transform("posterior", lambda p: p * F.col("w"))).withColumn("rate", F.when(F.col("n_tokens") > 0, fold["rate"]).otherwise(1.0)).drop("w", "a")
+    fold = _fold(F.transform("posterior", lambda p: p * own), own, report["history"], report["momentum"], report["step"], target.penalty)
+    return members.withColumn(rate, F.when(F.col("n_tokens") > 0, fold["rate"]).otherwise(1.0))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

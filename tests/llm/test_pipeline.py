@@ -44,7 +44,8 @@ def test_stages(spark, corpus):
     masked = {r.doc_id: r for r in seen["secret scan"]}
     assert "abcdef0123456789abcd" not in masked[402].text and "[SECRET]" in masked[402].text and masked[402].n_chars == len(masked[402].text)
     assert all(r.text == texts[i] for i, r in masked.items() if i != 402)
-    assert {i for i in ids["near duplicates"]} == set(ids["source mixing"])
+    left = set(ids["source mixing"])  # nearly all tokens are of high quality here, and the targets ask for 0.92 x 0.95 of them
+    assert left <= set(ids["near duplicates"]) and {403, 404} <= left and 0.8 < len(left) / len(ids["near duplicates"]) < 0.97
     assert sorted(ids["byte-level BPE"], key=str) == sorted(ids["source mixing"], key=str)
     assert all(r.n_tokens == len(r.ids) for r in seen["byte-level BPE"])
 
