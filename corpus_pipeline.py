@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from hornbeam.llm import bpe, credentials, jaccard, mixing, toxicity
 from hornbeam.llm.common import DOCUMENT_COLUMNS, stored, table
 
-#: Every share is above what a clean document's domain can hold of the corpus, so clean documents are never mixed out.
-TARGET = mixing.Target({"high": 0.94, "low": 0.045, "toxic": 0.015}, size=1.15)
+#: What the mix should hold: documents of low quality and the toxic ones that are left get rates well below 1.
+TARGET = mixing.Target({"high": 0.92, "low": 0.07, "toxic": 0.01}, size=0.95)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +59,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is used as often as its rate says: the whole part always, the rest by a hash of its id."""
     model = mixing.learn(docs, table(spark, sf_dir, "labels"))
-    members = mixing.posteriors(docs.select(*DOCUMENT_COLUMNS), model)
-    report = mixing.fit_rates(stored(members.select("n_tokens", "posterior")), TARGET)
+    # stored before anything is derived from it: the fold over the rounds must not contain the classification
+    members = stored(mixing.posteriors(docs.select(*DOCUMENT_COLUMNS), model))
+    report = mixing.fit_rates(members.select("n_tokens", "posterior"), TARGET)
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    rated = mixing.with_rates(members, report, TARGET).withColumn("times", times).filter("times > 0")
-    return rated.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select(*DOCUMENT_COLUMNS)
+    rated = mixing.with_rates(members, report, TARGET).withColumn("times", F.floor(F.col("rate") + 1 - chance))
+    return rated.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*DOCUMENT_COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
