@@ -78,3 +78,52 @@ def same_as_sql(spark, folder, query, sql, **tables):
     found = con.sql(sql)
     assert sorted(found.columns) == sorted(out.columns)
     assert got == sorted(map(repr, found.select(*[f'"{c}"' for c in out.columns]).fetchall())) and got
+
+
+def sentences(text):
+    """Pieces that join to the text: by stops and line breaks, then long ones after the word of least hash in each seven."""
+    import re
+    import xxhash
+
+    space = "\t\n\x0b\x0c\r "
+    out, words = [], list(re.finditer(f"[^{space}]+", text))
+    ends = [m[0][-1] in ".!?" or i + 1 == len(words) or "\n" in text[m.end() : words[i + 1].start()] for i, m in enumerate(words)]
+    cuts, at = set(), 0
+    for i, end in enumerate(ends):
+        if end:
+            cuts.add(i)
+            if i + 1 - at > 12:
+                h = [xxhash.xxh3_64_intdigest(m[0].encode().lower()) for m in words[at : i + 1]]
+                cuts.update(at + max(range(k, k + 7), key=lambda j: (-h[j], j)) for k in range(len(h) - 6))
+            at = i + 1
+    at = 0
+    for i in sorted(cuts):
+        stop = words[i + 1].start() if i + 1 < len(words) else len(text)
+        out.append(text[at:stop])
+        at = stop
+    return out
+
+
+def spans(pieces):
+    """(first, end, words) of the shortest runs of three pieces and twenty words from each piece and up to each."""
+    fold = lambda p: p.encode().lower().split()
+    n, found = [len(fold(p)) for p in pieces], set()
+    for i in range(len(pieces)):
+        ends = [e for e in range(i + 3, len(pieces) + 1) if sum(n[i:e]) >= 20]
+        starts = [s for s in range(i + 1 - 3, -1, -1) if sum(n[s : i + 1]) >= 20][:1]
+        found |= {(i, ends[0])} if ends else set()
+        found |= {(starts[0], i + 1)} if starts else set()
+    return [(a, b, tuple(w for p in pieces[a:b] for w in fold(p))) for a, b in sorted(found)]
+
+
+def without_repeats(docs):
+    """{id: (text left, sentences removed)} of {id: text}."""
+    first, out, parts = {}, {}, {i: sentences(t) for i, t in docs.items()}
+    found = {i: spans(p) for i, p in parts.items()}
+    for i in sorted(docs):
+        for a, b, w in found[i]:
+            first.setdefault(w, (i, a, b))
+    for i in docs:
+        gone = {k for a, b, w in found[i] if first[w] != (i, a, b) for k in range(a, b)}
+        out[i] = "".join(p for k, p in enumerate(parts[i]) if k not in gone), len(gone)
+    return out
