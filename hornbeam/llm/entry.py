@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard": jaccard.OP4_SQL,
         "op7_exact_top_k": mtree.OP7_SQL,
         "op8_quality_rules": quality.OP8_SQL,
+        "op9_secret_scan": credentials.OP9_SQL,
     }

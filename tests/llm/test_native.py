@@ -121,6 +121,17 @@ def test_weak_parts_under_base_spans_link_others(spark):
     assert [[x.kind for x in out[i].spans] for i in range(3)] == [[2, 4, 5], [3, 4, 2], [3, 4, 0]]
 
 
+def test_strong_secrets_link_and_blank_lines_part_scopes(spark, tmp_path):
+    texts = ["user: alice1 password=hunter22hunter22 at https://db.example.com", "user: alice1\n \npass=hunter22 https://db.example.com/x", "x\n\nuser: alice1\npass=hunter22\nhttps://db.example.com/x\n\n\nuser: bob", None, "", "AKIA" + "B" * 16 + "\nsecret=abcdefghijklmnop\nhttps://a.example.com", "user: " + "z" * 3000 + " pass=hunter22 https://db.example.com/x"]
+    out = check_spans(spark, texts)
+    assert [[x.kind for x in out[i].spans] for i in range(7)] == [[3, 0, 5], [], [3, 4, 5], [], [], [1, 0, 5], [3, 4, 5]]
+    rng = random.Random(8)
+    piece = lambda: rng.choice(["user: alice1", "login=bob9", "pass=hunter22", "token: abcdefghijkl", "https://db.example.com/x", "AKIA" + "C" * 15, "0123456789abcdef", "\n\n", "\n \t\n", "z " * rng.randrange(150), "é " * 30, "\n"])
+    texts += ["".join(piece() + rng.choice([" ", "\n", " "]) for _ in range(rng.randrange(25))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    brute.same_as_sql(spark, tmp_path, credentials.op9_secret_scan, credentials.OP9_SQL, documents=docs)
+
+
 def test_parts_of_any_length_meet(spark):
     rng, rows = random.Random(6), set()
     for key in range(150):
