@@ -1,13 +1,15 @@
 """Quality rules, with cross-document line frequency.
 
-Normalised lines are hashed; for each host, the distinct documents that hold a line are counted. Lines
-above the limits are removed, and documents that this leaves depleted are rejected.
+Normalised lines are hashed; for each host, the distinct documents (ids) that hold a line are counted. Lines
+above the limits are removed, and documents that this leaves depleted are rejected. The limit is a share of
+the host's documents, the same at every size; a few documents are needed in any case, so that small hosts keep their lines.
 
 Style: DataFrame functions only. What a rule needs of a text is computed in the scan; only hashes of
 lines (24 bytes each) are shuffled, summed on the map side first, and texts never are.
 
-Defined cases: a null text has no words and fails; a null host is a host of its own; exact copies count as
-one document for a line, so a repeated row never makes its own lines frequent; a document is rejected
+Defined cases: a null text has no words and fails; a null host is a host of its own; rows with one id are one
+document for a line, so a repeated row never makes its own lines frequent, but copies under other ids do; rows without an id are
+one document for each different text; a document is rejected
 only by lines that others have; ties do not arise (counts are compared with limits); other columns stay
 out of the report; an empty table gives an empty report.
 """
@@ -26,9 +28,9 @@ SPACES = "\t\n\x0b\x0c\r "
 
 @dataclass(frozen=True)
 class Limits:
-    """A line goes if more than ``docs`` distinct documents of its host have it, and more than ``share`` of them."""
+    """A line goes if more than ``share`` of its host's documents have it, and ``docs`` of them at least."""
 
-    docs: int = 100
+    docs: int = 5
     share: float = 0.03
     #: A document is depleted if the removed lines held so many of its words.
     depleted: float = 0.7
@@ -84,19 +86,20 @@ def features(docs: DataFrame, limits: Limits, host: str = "source", text: str =
 
 def frequent_lines(feats: DataFrame, limits: Limits) -> DataFrame:
     """Keys of the lines above the limits; a key holds host and line."""
-    hosts = feats.groupBy("host").agg(F.count("*").alias("in_host"))
-    each = feats.select("host", "print", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    counted = each.groupBy("line", "print").agg(F.first("host").alias("host")).groupBy("line").agg(F.count("*").alias("n"), F.first("host").alias("host"))
-    counted = counted.filter(F.col("n") > limits.docs)
+    document = F.coalesce("doc_id", "print").alias("document")
+    hosts = feats.groupBy("host").agg(F.countDistinct(document).alias("in_host"))
+    each = feats.select("host", document, F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    counted = each.groupBy("line", "document").agg(F.first("host").alias("host")).groupBy("line").agg(F.count("*").alias("n"), F.first("host").alias("host"))
+    counted = counted.filter(F.col("n") >= limits.docs)
     return counted.join(hosts, counted.host.eqNullSafe(hosts.host)).filter(F.col("n") > limits.share * F.col("in_host")).select("line")
 
 
 def report(docs: DataFrame, limits: Limits = Limits(), host: str = "source", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, the base figures, base_failed, removed (line numbers), n_words_left, kept."""
-    feats = stored(features(docs, limits, host, text))
-    rows = feats.select("doc_id", "print", "host", F.explode("lines").alias("x")).select("doc_id", "print", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"), F.col("x.at").alias("at"))
-    gone = rows.join(frequent_lines(feats, limits), "line", "left_semi").groupBy(F.xxhash64("doc_id", "print", "host").alias("__row")).agg(F.sort_array(F.collect_set("at")).alias("removed"), F.collect_set(F.struct("at", "words")).alias("__cut"))
-    done = feats.withColumn("__row", F.xxhash64("doc_id", "print", "host")).join(gone, "__row", "left")
+    feats = stored(features(docs, limits, host, text).withColumn("__row", F.monotonically_increasing_id()))  # fixed once stored
+    rows = feats.select("__row", F.explode("lines").alias("x")).select("__row", F.col("x.line").alias("line"), F.col("x.words").alias("words"), F.col("x.at").alias("at"))
+    gone = rows.join(frequent_lines(feats, limits), "line", "left_semi").groupBy("__row").agg(F.sort_array(F.collect_set("at")).alias("removed"), F.collect_set(F.struct("at", "words")).alias("__cut"))
+    done = feats.join(gone, "__row", "left")
     cut = F.aggregate(F.coalesce("__cut", F.array().cast("array<struct<at:int,words:int>>")), F.lit(0), lambda s, x: s + x["words"])
     failed = (F.col("n_words") < limits.words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * round(100 * limits.repeated))
     done = done.withColumn("n_words_left", (F.col("n_words") - cut).cast("long"))
@@ -127,9 +130,9 @@ twice AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g JOIN twice USING (doc_id, g)) GROUP BY 1),
 l AS (SELECT doc_id, source, t, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw, lower(array_to_string(regexp_extract_all(l, '[^\x20\x09-\x0D]+'), ' ')) AS norm
       FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS l FROM d)),
-hosts AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
-freq AS (SELECT f.source, f.norm FROM (SELECT source, norm, count(DISTINCT t) AS n FROM l WHERE nw > 0 GROUP BY 1, 2) f
-         JOIN hosts h ON h.source IS NOT DISTINCT FROM f.source WHERE f.n > 100 AND f.n > 0.03 * h.n),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS n FROM d GROUP BY 1),
+freq AS (SELECT f.source, f.norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM l WHERE nw > 0 GROUP BY 1, 2) f
+         JOIN hosts h ON h.source IS NOT DISTINCT FROM f.source WHERE f.n >= 5 AND f.n > 0.03 * h.n),
 lines AS (SELECT l.doc_id, count(*) - count(DISTINCT l.l) AS dup, coalesce(sum(nw) FILTER (freq.norm IS NOT NULL), 0) AS cut
           FROM l LEFT JOIN freq ON l.source IS NOT DISTINCT FROM freq.source AND l.norm = freq.norm WHERE nw > 0 GROUP BY 1),
 f AS (SELECT w.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,

@@ -62,17 +62,30 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     banner = " ".join(f"banner{k}" for k in range(25))
     rows = [(i, f"{own(i)}\n  {banner.upper()}", "h1") for i in range(30)]  # the line is frequent on h1
     rows += [(100, banner, "h1"), (101, banner, "h2"), (102, None, None), (103, own(103), None)]
-    rows += [(200 + i, own(5000), "h3") for i in range(50)]  # copies count once
+    rows += [(200 + i, own(5000), "h3") for i in range(50)]  # copies under different ids are documents
+    rows += [(300, own(6000), "h4")] * 50 + [(None, own(7000), "h4")] * 50  # repeated rows are one
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, removed string")
     limits = quality.Limits(docs=10, share=0.1)
     out = {r.doc_id: r for r in quality.report(docs, limits).collect()}
     assert all(out[i].removed == [1] and out[i].kept and out[i].n_words_left == 30 for i in range(30))
     assert not out[100].kept and not out[100].base_failed and out[101].kept and not out[102].kept and out[103].kept
-    assert all(out[200 + i].kept for i in range(50))
+    assert not any(out[200 + i].kept for i in range(50)) and out[300].kept and out[None].kept
     left = {r.doc_id: r.text for r in quality.filter_documents(docs, limits).collect()}
     assert left[3] == own(3) and 100 not in left and left[101] == banner
 
 
+def test_default_limits_do_not_depend_on_size(spark, tmp_path):
+    """A line in a tenth of a host's documents goes, whether the host has 100 or 3,000; one in two documents of ten stays."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(21))
+    line = " ".join(f"line{k}" for k in range(60))
+    rows = [(h * 10_000 + i, own(h * 10_000 + i) + (f"\n{line}" if i % 10 == 0 else "\n\tÉ a  line of ten" if i % 4 == 1 else ""), f"h{h}") for h, n in enumerate((100, 3000, 20)) for i in range(n)]
+    rows += [(90_000, None, None), (90_001, "", "h0"), (90_002, line, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    gone = {r.doc_id for r in quality.report(docs).filter("NOT kept AND NOT base_failed").collect()}
+    assert gone == {h * 10_000 + i for h, n in enumerate((100, 3000)) for i in range(0, n, 10)}
+    brute.same_as_sql(spark, tmp_path, quality.op8_quality_rules, quality.OP8_SQL, documents=docs)
+
+
 def check_spans(spark, texts):
     docs = spark.createDataFrame([(i, t, "clash", i) for i, t in enumerate(texts)], "doc_id long, text string, base string, key long")
     out = credentials.find_secrets(docs).select("doc_id", "base", "spans", credentials.listed(F.col("base")).alias("s"), credentials.masked(F.coalesce("text", F.lit("")), F.col("base")).alias("masked")).collect()
