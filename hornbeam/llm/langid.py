@@ -26,7 +26,7 @@ from hornbeam.llm.common import held_out, table
 
 #: Buckets of n-grams, and how many bytes an n-gram has.
 BUCKETS, GRAM = 1 << 16, 3
-#: Documents that each language is learned from, at most about; languages that can be learned.
+#: Documents that each language is learned from, at most about; languages beyond which ``learn`` refuses, as models are held whole.
 SAMPLE, LANGUAGES = 5000, 500
 #: What each further language has to gain, in nats: so much for each n-gram, besides the BIC term.
 PER_GRAM = 0.01
@@ -77,13 +77,14 @@ class Mixture:
         best = int(single.argmax())
         chosen, share, n = [best], np.ones(1), c.sum()
         every = self.proportions(p, c)
-        order = [i for i in np.argsort(-every, kind="stable") if i != best and every[i] >= 0.02]
-        if order:
-            value = c @ self.log[at, best]
-            for i in order:
+        value, most, price = c @ self.log[at, best], c @ np.log(p @ every), 0.5 * np.log(n) + PER_GRAM * n
+        for i in np.argsort(-every, kind="stable"):
+            if most - value <= price:  # no set gains more than all languages together
+                break
+            if i != best:
                 more = self.proportions(p[:, [*chosen, i]], c, 2 * ROUNDS)
                 gain = c @ np.log(p[:, [*chosen, i]] @ more) - value
-                if gain > 0.5 * np.log(n) + PER_GRAM * n:
+                if gain > price:
                     chosen, share, value = [*chosen, i], more, value + gain
         main = min(range(len(chosen)), key=lambda k: (-share[k], self.names[chosen[k]]))
         return self.names[chosen[main]], float(min(1.0, max(0.0, share[main]))), {self.names[i]: float(s) for i, s in zip(chosen, share, strict=True)}
@@ -96,7 +97,9 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Mixture:
     collected has at most BUCKETS rows for each of LANGUAGES languages.
     """
     rows = docs.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are labelled: their models would not fit; leave some out or merge them")
     names = sorted(sizes)
     if not names:
         return Mixture([], np.zeros((0, BUCKETS)), np.zeros(0))

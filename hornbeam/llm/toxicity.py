@@ -3,11 +3,15 @@
 The lexicon is learned: words, and stems that begin several words, whose documents are labelled toxic
 far more often than chance allows. Their trie is intersected with a Levenshtein automaton (insertions,
 deletions, substitutions, swaps of neighbours); the product is made deterministic as texts ask for it.
-Each hit counts less the more its window looks like quotation. A logistic model of the hits gives the score.
+The window around a hit tells whether it stands inside quotation marks, and whether someone's speech is reported there; a
+logistic model learns from the labels what hits weigh outside quotation, inside it, and inside a reported one.
 
 Style: Python on Arrow batches; the automaton is a loop over characters. Nothing is shuffled but
 the counts of the bounded training sample.
 
+The lexicon and the words met in the sample are bounded by the sample, SAMPLE documents; which terms are taken is decided by tests
+against chance, not by a number.
+
 Defined cases: null and empty texts have no hits and get the score of a document without any; repeated
 rows get the same score; labels that are null, or for the held-out fold, are not learned from; where no term
 or no label is found the score is the share of toxic labels (0 without labels); an empty table gives an empty table.
@@ -24,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import held_out, labelled_sample, table
+from hornbeam.llm.common import held_out, labelled_sample, stored, table
 
-#: Labelled documents to learn from, at most about; terms in the lexicon, at most.
-SAMPLE, TERMS = 12_000, 400
-STEMS = range(4, 8)
+#: Labelled documents to learn from, at most about.
+SAMPLE = 12_000
+STEMS = range(4, 9)
+#: Least share of toxic documents among those with a word, and with a stem.
+SHARE, STEM_SHARE = 0.8, 0.5
 #: Words left and right of a hit that its window holds.
 WINDOW = 6
 THRESHOLD = 0.3
@@ -37,9 +43,12 @@ CROWD = 1
 #: What each edit leaves of a hit's weight.
 SLIP = 0.8
 _EDGE = ".,;:!?()[]{}<>…\"'“”„«»‘’`*_~-"
-#: Quotation marks, and words that report another's speech.
-QUOTES = frozenset("\"“”„«»‘’`")
+#: Quotation marks (an apostrophe is none), what may follow a closing one, and words that report another's speech.
+QUOTES = tuple("\"“”„«»")
+_AFTER = ".,;:!?)]…"
 REPORTS = frozenset("said says wrote called quote quoted word term dit écrit mot sagte schrieb wort dijo escribió palabra".split())
+#: What the model has weights for, with the constant.
+WEIGHTS = 8
 #: A worker forgets the words it has judged beyond so many.
 REMEMBERED = 300_000
 
@@ -53,11 +62,12 @@ class Automaton:
     """The intersection of a lexicon trie with Levenshtein automata, made deterministic on demand.
 
     A state is a set of (trie node, edits so far, character owed by a swap). ``match`` gives the
-    (term, edits) with the fewest edits, ties to the term that sorts first, or None.
+    (term, edits) with the fewest edits, ties to the term with the highest odds and then to the one that sorts first, or None.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[str] = frozenset()):
+    def __init__(self, terms: list[tuple[str, bool]], exact: frozenset[str] = frozenset(), odds: dict[str, float] | None = None):
         """exact: terms that allow no edit."""
+        self.odds = odds or {}
         self.allowed = lambda term, stem: 0 if term in exact else edits(term, stem)
         self.next: list[dict[str, int]] = [{}]
         self.end: list[list[tuple[str, bool]]] = [[]]
@@ -94,9 +104,9 @@ class Automaton:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ends = [(e, term, stem) for node, e, owed in key if not owed for term, stem in self.end[node] if e <= self.allowed(term, stem)]
-            self.words.append(min(((e, t) for e, t, _ in ends), default=None))
-            self.stems.append(min(((e, t) for e, t, stem in ends if stem), default=None))
+            ends = [((e, -self.odds.get(term, 0.0), term), stem) for node, e, owed in key if not owed for term, stem in self.end[node] if e <= self.allowed(term, stem)]
+            self.words.append(min((x for x, _ in ends), default=None))
+            self.stems.append(min((x for x, stem in ends if stem), default=None))
         return self.states[key]
 
     def _step(self, at: int, c: str) -> int:
@@ -131,7 +141,7 @@ class Automaton:
         else:
             if self.words[at] is not None and (best is None or self.words[at] < best):
                 best = self.words[at]
-        return (best[1], best[0]) if best else None
+        return (best[2], best[0]) if best else None
 
     def _fresh(self, at: int, c: str) -> int:
         """Forgets all states but the one at hand, to bound memory."""
@@ -141,15 +151,26 @@ class Automaton:
         return self._step(self._state(set(here)), c)
 
 
-def quotation(words: list[str], at: int) -> float:
-    """How far the window around a hit looks like quotation: 0 (abuse) to 1."""
+def _begins(word: str) -> bool:
+    return word.lstrip("([")[:1] in QUOTES
+
+
+def _ends(word: str) -> bool:
+    return word.rstrip(_AFTER)[-1:] in QUOTES
+
+
+def quotation(words: list[str], at: int) -> int:
+    """What the window around a hit says: 0 (plain), 1 (inside quotation marks), 2 (there, and speech is reported).
+
+    The nearest mark to the left must open and the nearest to the right must close, so a quotation that ended before the hit
+    does not count, nor one that begins after it. A mark that stands alone is taken as the one looked for.
+    """
     before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
-    own = words[at]
-    left = any(not QUOTES.isdisjoint(w[:1]) for w in before) and not any(not QUOTES.isdisjoint(w[-1:]) for w in before[-1:])
-    right = any(not QUOTES.isdisjoint(w[-1:]) or not QUOTES.isdisjoint(w[-2:-1]) for w in after)
-    marks = (not QUOTES.isdisjoint(own[:1]) or left) and (not QUOTES.isdisjoint(own[-2:]) or right)
-    report = any(w.strip(_EDGE) in REPORTS for w in (*before, *after))
-    return 0.7 * marks + 0.2 * (marks and report)
+    left = _begins(words[at]) or next((len(w) == 1 or not _ends(w) for w in reversed(before) if _begins(w) or _ends(w)), False)
+    right = _ends(words[at]) or next((len(w) == 1 or not _begins(w) for w in after if _begins(w) or _ends(w)), False)
+    if not (left and right):
+        return 0
+    return 2 if any(w.strip(_EDGE) in REPORTS for w in (*before, *after)) else 1
 
 
 class Scorer:
@@ -157,15 +178,15 @@ class Scorer:
 
     def __init__(self, lexicon: dict[tuple[str, bool], float], weights: list[float], innocent: frozenset[str] = frozenset(), exact: frozenset[str] = frozenset()):
         self.lexicon, self.weights, self.innocent, self.exact = lexicon, weights, innocent, exact
-        self.odds = {term: w for (term, _), w in lexicon.items()}
-        self.automaton = Automaton(list(lexicon), exact)
+        self.odds = {term: w for (term, _), w in sorted(lexicon.items(), key=lambda x: x[1])}
+        self.automaton = Automaton(list(lexicon), exact, self.odds)
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[str, int]] = {}
 
     def __reduce__(self):
         return Scorer, (self.lexicon, self.weights, self.innocent, self.exact)
 
-    def find(self, text: str | None) -> tuple[list[tuple[int, str, int, float]], int]:
+    def find(self, text: str | None) -> tuple[list[tuple[int, str, int, int]], int]:
         """(position, term, edits, quotation) of every hit, and the number of words."""
         words = (text or "").lower().split()
         distinct = set(words)
@@ -186,10 +207,13 @@ class Scorer:
         return out, len(words)
 
     def features(self, text: str | None) -> list[float]:
+        """1; the weight of hits by quotation, outside and inside; the strongest outside and inside; the density outside."""
         hits, n = self.find(text)
-        each = [((1 - q) * SLIP**e, self.odds[t]) for _, t, e, q in hits]
-        abuse = sum(w for w, _ in each)
-        return [1.0, math.log1p(abuse), max((w * o for w, o in each), default=0.0), math.log1p(100 * abuse / max(n, 1))]
+        sums, most = [0.0] * 3, [0.0] * 3
+        for _, t, e, q in hits:
+            sums[q] += SLIP**e
+            most[q] = max(most[q], SLIP**e * self.odds[t])
+        return [1.0, *map(math.log1p, sums), *most, math.log1p(100 * sums[0] / max(n, 1))]
 
     def score(self, text: str | None) -> float:
         z = sum(a * b for a, b in zip(self.weights, self.features(text), strict=True))
@@ -213,21 +237,21 @@ def _terms(text: str | None) -> set[tuple[str, bool]]:
     return {(w, False) for w in words if len(w) >= 3} | {(w[:k], True) for w in words for k in STEMS if len(w) > k}
 
 
-def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", share: float = SHARE) -> Scorer:
     """The lexicon and the model, from about SAMPLE labelled documents at most, outside the held-out fold.
 
-    Term counts are summed by a group-by; the driver gets the number of terms, at most 20,000
-    candidate terms, the sample's innocent neighbours of the chosen terms, and a handful of numbers
+    Term counts are summed by a group-by; the driver gets the number of terms, those that pass a test against
+    chance, the sample's innocent neighbours of the chosen terms, and a handful of numbers
     for each document of the sample.
     """
     sample = labelled_sample(docs, labels, target, SAMPLE).select("text", F.col(target).cast("int").alias("y")).filter("y in (0, 1)")
-    sample = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y").persist()
+    sample = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
+    sample = stored(sample)  # a lost executor does not cost the scan again
     sums = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     total, toxic = sum(sums.values()), sums.get(1, 0)
     if not toxic or toxic == total:
         rate = toxic / total if total else 0.0
-        sample.unpersist()
-        return Scorer({}, [math.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), 0, 0, 0])
+        return Scorer({}, [math.log(max(rate, 1e-9) / max(1 - rate, 1e-9)), *[0.0] * (WEIGHTS - 1)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,14 +266,16 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Scorer:
                 keys = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([seen[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())], names=["term", "stem", "n", "t"])
 
-    found = sample.mapInArrow(count, "term string, stem boolean, n long, t long").groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).persist()
+    found = sample.mapInArrow(count, "term string, stem boolean, n long, t long").groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    found = stored(found.filter("n > 1 OR NOT stem"))
     tested, base = max(2, found.filter("n > 1").count()), toxic / total
-    share = (F.col("t") + 0.1) / (F.col("n") + 0.2)
-    gain = F.col("t") * F.log(share / base) + (F.col("n") - F.col("t")) * F.log((1 - share) / (1 - base))
+    part = (F.col("t") + 0.1) / (F.col("n") + 0.2)
+    gain = F.col("t") * F.log(part / base) + (F.col("n") - F.col("t")) * F.log((1 - part) / (1 - base))
     # so many terms are tested that only a gain above log(2 * tested) is not chance
-    rows = found.filter((F.col("n") > 1) & (share >= 0.8) & (gain >= math.log(2 * tested))).withColumn("odds", F.log(share / (1 - share))).orderBy(F.desc("t"), "term", "stem").limit(20_000).collect()
+    least = F.when(F.col("stem"), STEM_SHARE).otherwise(share)
+    rows = found.filter((F.col("n") > 1) & (part >= least) & (gain >= math.log(2 * tested))).withColumn("odds", F.log(part / (1 - part))).orderBy(F.desc("t"), "term", "stem").collect()
     terms = _choose([(r.term, r.stem, r.t, r.odds) for r in rows])
-    sent = docs.sparkSession.sparkContext.broadcast(Scorer(terms, [0.0] * 4))
+    sent = docs.sparkSession.sparkContext.broadcast(Scorer(terms, [0.0] * WEIGHTS))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,10 +284,10 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Scorer:
 
     # a neighbour of a term that documents without the label use is a word of its own, and a term with
     # several such neighbours is too much like ordinary words for misspellings to be told from them
-    pairs = found.filter("NOT stem AND t < 0.8 * n").select("term").mapInArrow(near, "word string, term string").toArrow()
+    pairs = found.filter(~F.col("stem") & (F.col("t") < share * F.col("n"))).select("term").mapInArrow(near, "word string, term string").toArrow()
     crowd = Counter(pairs["term"].to_pylist())
     innocent, exact = frozenset(pairs["word"].to_pylist()), frozenset(t for t, n in crowd.items() if n > CROWD)
-    sent = docs.sparkSession.sparkContext.broadcast(Scorer(terms, [0.0] * 4, innocent, exact))
+    sent = docs.sparkSession.sparkContext.broadcast(Scorer(terms, [0.0] * WEIGHTS, innocent, exact))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,8 +295,6 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Scorer:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     got = sample.mapInArrow(describe, "x array<double>, y int").toArrow()
-    sample.unpersist()
-    found.unpersist()
     x, y = np.array(got["x"].to_pylist()), got["y"].to_numpy().astype(float)
     order = np.lexsort([*x.T, y])  # sums do not depend on the order of tasks
     return Scorer(terms, _fit(x[order], y[order]), innocent, exact)
@@ -278,16 +302,16 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Scorer:
 
 def _choose(rows: list[tuple[str, bool, int, float]]) -> dict[tuple[str, bool], float]:
     """Stems that begin at least three suspicious words, the shortest first, then words that no chosen stem begins."""
-    words = [(t, n, o) for t, stem, n, o in rows if not stem]
-    begun = Counter(w[:k] for w, _, _ in words for k in STEMS if len(w) > k)
+    words = [(t, o) for t, stem, _, o in rows if not stem]
+    begun = Counter(w[:k] for w, _ in words for k in STEMS if len(w) > k)
     chosen: dict[tuple[str, bool], float] = {}
     for t, o in sorted(((t, o) for t, stem, _, o in rows if stem and begun[t] >= 3), key=lambda x: (len(x[0]), x[0])):
         if not any((t[:k], True) in chosen for k in STEMS if k < len(t)):
             chosen[t, True] = o
-    for t, _, o in words:
+    for t, o in words:
         if not any((t[:k], True) in chosen for k in STEMS if k < len(t)):
             chosen[t, False] = o
-    return dict(list(chosen.items())[:TERMS])
+    return chosen
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -40,3 +40,61 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert L.identify(docs, L.learn(docs)).first().lang_pred == "und"
     assert L.identify(docs.limit(0), L.learn(docs.limit(0))).count() == 0
+
+
+def test_query_equals_a_plain_version(spark, tmp_path):
+    """Counting, smoothing, EM to its end and the choice among all sets of languages, text by text."""
+    import math
+    import zlib
+
+    rng = random.Random(5)
+    rows = [(i, text(A if i % 2 else B, rng.randrange(1, 60), rng), "en" if i % 2 else "de", "s", 1) for i in range(160)]
+    rows += [(200 + i, text(A, 5 * i, rng) + " " + text(B, 100 - 5 * i, rng), None, "s", 1) for i in range(21)]
+    rows += [(300, None, "en", "s", 1), (301, "123", "de", "s", 1), (302, "É", None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in L.op10_language_id(spark, str(tmp_path)).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+
+    def buckets(t):
+        b = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in t.lower().encode())
+        b = b" " + b + b" "
+        while b"  " in b:
+            b = b.replace(b"  ", b" ")
+        return [((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761 % 2**32) >> 16 for k in range(len(b) - 2)]
+
+    counts, docs = {x: [0.5] * 65536 for x in ("de", "en")}, {"de": 1, "en": 1}
+    for i, t, lang, *_ in rows:
+        if lang and t is not None and not held(i):
+            docs[lang] += 1
+            for k in buckets(t):
+                counts[lang][k] += 1
+    p = {x: [c / sum(counts[x]) for c in counts[x]] for x in counts}
+    for i, t, *_ in rows:
+        r = out[i]
+        assert r.held_out == held(i)
+        if t is None or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        g = buckets(t)
+        single = {x: sum(math.log(p[x][k]) for k in g) + math.log(docs[x] / sum(docs.values())) for x in p}
+        best = max(sorted(single), key=single.get)
+        a = 0.5
+        for _ in range(400):
+            a = sum(a * p["en"][k] / (a * p["en"][k] + (1 - a) * p["de"][k]) for k in g) / len(g)
+        both = sum(math.log(a * p["en"][k] + (1 - a) * p["de"][k]) for k in g)
+        gain = both - sum(math.log(p[best][k]) for k in g)
+        price = 0.5 * math.log(len(g)) + 0.01 * len(g)
+        if abs(gain - price) < 0.5 or abs(a - 0.5) < 0.02:
+            continue  # too close to call for an EM of few rounds
+        want = ("en" if a > 0.5 else "de", max(a, 1 - a)) if gain > price else (best, 1.0)
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 0.05, (i, t, r, want)
+    assert sum(len(r.lang_shares) == 2 for r in out.values()) > 8
+
+
+def test_too_many_languages_are_told(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "some words", x) for x in "abc" for i in range(8)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        L.learn(docs)

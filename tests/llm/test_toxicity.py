@@ -49,13 +49,59 @@ def test_automaton_equals_brute_force():
 
 
 def test_quotation_counts_less_than_abuse():
-    scorer = X.Scorer({("moron", False): 3.0}, [-4.0, 2.0, 1.0, 0.5], frozenset(["maroon"]))
-    plain, quoted = scorer.score("you are a moron and more"), scorer.score('the report said "you are a moron" and more')
-    assert plain > quoted > scorer.score("you are kind and more")
+    scorer = X.Scorer({("moron", False): 3.0}, [-4.0, 2.0, 0.6, 0.1, 1.0, 0.3, 0.1, 0.5], frozenset(["maroon"]))
+    plain, quoted, told = (scorer.score(t) for t in ("you are a moron and more", 'there was "you are a moron" and more', 'the report said "you are a moron" and more'))
+    assert plain > quoted > told > scorer.score("you are kind and more")
     assert scorer.score("you are a mroon") > scorer.score("you are a macaroon")
     assert scorer.score("you are a maroon") == scorer.score("you are a macaroon")
 
 
+def test_quotations_are_balanced():
+    of = lambda t: X.quotation(t.split(), t.split().index(next(w for w in t.split() if "moron" in w)))
+    inside = ['a "you moron" b', 'a "moron" b', '("moron", b', 'he "is a moron."', 'x « le moron » y', '“oh moron!” z', 'x " a moron " y']
+    outside = ['wrote "fine" and moron came to "rome"', 'moron "rome"', '"fine" moron', '"never closed moron', 'moron', 'don\'t moron can\'t', '" a b c d e f g moron x"']
+    assert [of(t) for t in inside] == [1] * len(inside) and [of(t) for t in outside] == [0] * len(outside)
+    assert of('he said "a moron"') == 2
+
+
+def test_the_model_learns_what_quotation_weighs(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        words = ["ta" + str(rng.randrange(60)) for _ in range(20)]
+        kind = i % 4
+        words[10] = ["vilewoord", '"vilewoord"', "ta1", "ta2"][kind]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(kind == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = X.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), share=0.4)
+    assert scorer.score("ta1 vilewoord ta2") > 0.9 and scorer.score('ta1 "vilewoord" ta2') < 0.1
+
+
+def test_query_learns_outside_the_held_out_fold(spark, tmp_path):
+    """The contract's columns, a fold of ids by crc32, and scores on the held-out part that labels there do not change."""
+    import zlib
+
+    rng = random.Random(7)
+    common = ["ta" + str(i) for i in range(80)]
+    rows, labels = [], []
+    for i in range(800):
+        bad = rng.random() < 0.25
+        rows.append((i, " ".join(rng.choice(common) for _ in range(25)) + (" nastier ta1" if bad else ""), "en", "s", 1))
+        labels.append((i, 1, int(bad)))
+    folds = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = []
+    for k, flip in enumerate((False, True)):  # labels of the held-out fold are turned around
+        spark.createDataFrame([(i, q, 1 - y if flip and folds[i] else y) for i, q, y in labels], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        out = X.op6_toxicity(spark, str(tmp_path)).collect()
+        assert {r.doc_id: r.held_out for r in out} == folds and all(r.predicted == int(r.score >= 0.3) for r in out)
+        got.append({r.doc_id: (round(r.score, 9), r.predicted) for r in out})
+    assert got[0] == got[1]
+    truth = {i: y for i, _, y in labels}
+    assert sum(got[0][i][1] == truth[i] for i in folds if folds[i]) >= 0.98 * sum(folds.values())
+
+
 def test_learns_and_scores(spark):
     rng = random.Random(1)
     common = ["ta" + str(i) for i in range(60)]
