@@ -37,8 +37,8 @@ from hornbeam.llm.common import labelled_sample, stored, table, unused
 from hornbeam.llm.quality import words_of
 
 DOMAINS = ("high", "low", "toxic")
-#: Labelled documents to learn from, at most about.
-SAMPLE = 6000
+#: Labelled documents to learn from, at most about; the share of a domain's documents that have a word that marks it, at least.
+SAMPLE, COMMON = 6000, 0.01
 
 
 @dataclass(frozen=True)
@@ -64,9 +64,12 @@ def figures(text: Column, words: Column, marks: dict[str, list[str]]) -> dict[st
         "repeats": F.size(F.array_distinct(words)) / count,
         "lines": F.size(F.array_distinct(lines)) / F.size(lines),
     }
+    among = lambda terms: lambda w: w.isin(terms)  # noqa: E731  a constant set
+    every = sorted({t for terms in marks.values() for t in terms})
+    met = F.filter(F.array_distinct(words), among(every)) if every else F.array()
     for domain, terms in marks.items():
         if terms:
-            out[f"marks_{domain}"] = F.least(F.size(F.array_intersect(words, F.split(F.lit(" ".join(terms)), " "))), F.lit(3)).cast("double")
+            out[f"marks_{domain}"] = F.least(F.size(F.filter(met, among(terms))), F.lit(3)).cast("double")
     return out
 
 
@@ -107,7 +110,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     total = sum(sizes.values())
     if not total:
         return Classifier({}, (), {})
-    # a word marks a domain if far more of its documents hold it than of the others, by more than chance among so many words
+    # a word marks a domain if far more of its documents hold it than of the others, by more than chance among so many words;
+    # words of a few documents and their copies say little of others
     sets = F.array_distinct(F.transform("words", lambda w: F.btrim(w, F.lit(".,;:!?"))))
     held = sample.select("domain", F.explode(sets).alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS], F.count("*").alias("n")).filter("n >= 5 AND word <> ''")
     held = stored(held)
@@ -116,7 +120,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
         if 0 < (k := sizes.get(d, 0)) < total:
             inside, outside = (F.col(d) + 0.5) / (k + 1), (F.col("n") - F.col(d) + 0.5) / (total - k + 1)
             gain = F.col(d) * F.log(inside / outside)
-            marks[d] = [r.word for r in held.filter((inside > 4 * outside) & (gain > chance)).select("word").orderBy("word").collect()]
+            marks[d] = [r.word for r in held.filter((F.col(d) >= COMMON * k) & (inside > 4 * outside) & (gain > chance)).select("word").orderBy("word").collect()]
     seen = figures(F.coalesce("text", F.lit("")), F.transform("words", lambda w: F.btrim(w, F.lit(".,;:!?"))), marks)
     cols = [a for k, c in seen.items() for a in (F.avg(c).alias(f"m_{k}"), F.var_pop(c).alias(f"v_{k}"))]
     rows = {r.domain: r for r in sample.groupBy("domain").agg(*cols).collect()}

@@ -81,7 +81,7 @@ def test_query_equals_a_plain_classifier(spark, tmp_path):
     for w, c in held.items():
         for d in M.DOMAINS:
             a, b = (c[d] + 0.5) / (size[d] + 1), (sum(c.values()) - c[d] + 0.5) / (len(learned) - size[d] + 1)
-            if a > 4 * b and c[d] * math.log(a / b) > math.log(2 * len(held)):
+            if c[d] >= 0.01 * size[d] and a > 4 * b and c[d] * math.log(a / b) > math.log(2 * len(held)):
                 marks[d].add(w)
 
     def figures(i):
