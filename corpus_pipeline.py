@@ -63,8 +63,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     members = stored(mixing.posteriors(docs.select(*DOCUMENT_COLUMNS), model))
     report = mixing.fit_rates(members.select("n_tokens", "posterior"), TARGET)
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = mixing.with_rates(members, report, TARGET).withColumn("times", F.floor(F.col("rate") + 1 - chance))
-    return rated.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*DOCUMENT_COLUMNS)
+    times = F.floor(F.col("rate") + 1 - chance).cast("int")
+    return mixing.with_rates(members, report, TARGET).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times))).select(*DOCUMENT_COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
