@@ -33,10 +33,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import labelled_sample, stored, table, unused
-from hornbeam.llm.quality import words_of
+from hornbeam.llm.common import GAP, labelled_sample, stored, table, unused
+from hornbeam.llm.quality import SPACES
 
 DOMAINS = ("high", "low", "toxic")
+STOPS = ".,;:!?"
 #: Labelled documents to learn from, at most about; the share of a domain's documents that have a word that marks it, at least.
 SAMPLE, COMMON = 6000, 0.01
 
@@ -52,8 +53,14 @@ class Target:
     close: float = 1e-6
 
 
-def figures(text: Column, words: Column, marks: dict[str, list[str]]) -> dict[str, Column]:
-    """What the classifier sees of a whole text."""
+def plain_words(text: Column) -> Column:
+    """Lower-cased words without the stops that end them."""
+    bare = F.btrim(F.lower(text), F.lit(SPACES + STOPS))
+    return F.when(bare != "", F.split(bare, f"[{STOPS}]*{GAP}")).otherwise(F.array().cast("array<string>"))
+
+
+def figures(text: Column, words: Column, marks: dict[str, list[str]]) -> Column:
+    """What the classifier sees of a whole text: an array of numbers, the last ones for the domains that have marks."""
     n = F.greatest(F.char_length(text), F.lit(1))
     count = F.greatest(F.size(words), F.lit(1))
     lines = F.split(text, "\n", -1)
@@ -65,18 +72,18 @@ def figures(text: Column, words: Column, marks: dict[str, list[str]]) -> dict[st
         "lines": F.size(F.array_distinct(lines)) / F.size(lines),
     }
     among = lambda terms: lambda w: w.isin(terms)  # noqa: E731  a constant set
-    every = sorted({t for terms in marks.values() for t in terms})
-    met = F.filter(F.array_distinct(words), among(every)) if every else F.array()
-    for domain, terms in marks.items():
-        if terms:
-            out[f"marks_{domain}"] = F.least(F.size(F.filter(met, among(terms))), F.lit(3)).cast("double")
-    return out
+    told = [terms for terms in marks.values() if terms]
+    if not told:
+        return F.array(*[c.cast("double") for c in out.values()])
+    # marking words are found once for all domains: the inner counts share what the outer step has found
+    met = F.array(F.filter(F.array_distinct(words), among(sorted({t for terms in told for t in terms}))))
+    counts = F.transform(met, lambda m: F.array(*[F.least(F.size(F.filter(m, among(t))), F.lit(3)).cast("double") for t in told]))
+    return F.concat(F.array(*[c.cast("double") for c in out.values()]), F.get(counts, 0))
 
 
 @dataclass(frozen=True)
 class Classifier:
     marks: dict[str, list[str]]
-    names: tuple[str, ...]
     #: For each domain: log prior, and mean and variance of each figure.
     stats: dict[str, tuple[float, list[tuple[float, float]]]]
 
@@ -105,15 +112,14 @@ def domain_of() -> Column:
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     """From about SAMPLE labelled rows at most; the driver gets the words that mark a domain in them, and a few sums for each domain."""
     domains = labels.withColumn("domain", domain_of())
-    sample = stored(labelled_sample(docs, domains, "domain", SAMPLE).withColumn("words", words_of(F.lower(F.coalesce(F.col("text"), F.lit(""))))))
+    sample = stored(labelled_sample(docs, domains, "domain", SAMPLE).withColumn("words", plain_words(F.coalesce(F.col("text"), F.lit("")))))
     sizes = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:
-        return Classifier({}, (), {})
+        return Classifier({}, {})
     # a word marks a domain if far more of its documents hold it than of the others, by more than chance among so many words;
     # words of a few documents and their copies say little of others
-    sets = F.array_distinct(F.transform("words", lambda w: F.btrim(w, F.lit(".,;:!?"))))
-    held = sample.select("domain", F.explode(sets).alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS], F.count("*").alias("n")).filter("n >= 5 AND word <> ''")
+    held = sample.select("domain", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS], F.count("*").alias("n")).filter("n >= 5 AND word <> ''")
     held = stored(held)
     marks, chance = {}, math.log(2 * max(held.count(), 1))
     for d in DOMAINS:
@@ -121,19 +127,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
             inside, outside = (F.col(d) + 0.5) / (k + 1), (F.col("n") - F.col(d) + 0.5) / (total - k + 1)
             gain = F.col(d) * F.log(inside / outside)
             marks[d] = [r.word for r in held.filter((F.col(d) >= COMMON * k) & (inside > 4 * outside) & (gain > chance)).select("word").orderBy("word").collect()]
-    seen = figures(F.coalesce("text", F.lit("")), F.transform("words", lambda w: F.btrim(w, F.lit(".,;:!?"))), marks)
-    cols = [a for k, c in seen.items() for a in (F.avg(c).alias(f"m_{k}"), F.var_pop(c).alias(f"v_{k}"))]
-    rows = {r.domain: r for r in sample.groupBy("domain").agg(*cols).collect()}
-    stats = {d: (math.log(sizes[d] / total), [(r[f"m_{k}"], r[f"v_{k}"] + 1e-2) for k in seen]) for d, r in rows.items()}
-    return Classifier(marks, tuple(seen), stats)
+    seen = stored(sample.select("domain", figures(F.coalesce("text", F.lit("")), F.col("words"), marks).alias("x")))
+    n = 5 + sum(bool(m) for m in marks.values())
+    cols = [a for i in range(n) for a in (F.avg(F.get("x", i)).alias(f"m{i}"), F.var_pop(F.get("x", i)).alias(f"v{i}"))]
+    rows = {r.domain: r for r in seen.groupBy("domain").agg(*cols).collect()}
+    stats = {d: (math.log(sizes[d] / total), [(r[f"m{i}"], r[f"v{i}"] + 1e-2) for i in range(n)]) for d, r in rows.items()}
+    return Classifier(marks, stats)
 
 
 def posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens (words) and posterior (an array as DOMAINS)."""
     bare = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words, x = unused(docs, "words"), unused(docs, "x")
-    df = docs.withColumn(words, F.transform(words_of(F.lower(bare)), lambda w: F.btrim(w, F.lit(".,;:!?"))))
-    df = df.withColumn(x, F.array(*[c.cast("double") for c in figures(bare, F.col(words), model.marks).values()]) if model.stats else F.array().cast("array<double>"))
+    df = docs.withColumn(words, plain_words(bare))
+    df = df.withColumn(x, figures(bare, F.col(words), model.marks) if model.stats else F.array().cast("array<double>"))
     return df.withColumn("n_tokens", F.size(words).cast("long")).withColumn("posterior", model.posteriors(F.col(x))).drop(words, x)
 
 
