@@ -213,22 +213,25 @@ def _deal_again(groups: int):
 
 
 def _later(rows: pa.Table) -> pa.Table:
-    """The repeats of one group; those that chunks have found pass through."""
+    """The repeats of one group and those that chunks have found, one row each."""
     packed = rows["doc"].is_null()
     h, ids, at = _unpacked(rows.filter(packed))
     _, later = _repeats(h, ids, at)
-    return pa.concat_tables([rows.filter(pa.compute.invert(packed)).cast(pa.schema(list(_PACKED.items()))), pa.Table.from_batches([_told(ids[later], at[later], 1)])])
+    found = rows.filter(pa.compute.invert(packed))
+    near = [np.frombuffer(x, np.uint32) for x in found["at"].to_pylist()]
+    docs = np.repeat(found["doc"].to_numpy(), [len(x) for x in near])
+    return pa.table({"doc_id": pa.array(np.concatenate([ids[later], docs]), pa.int64()), "at": pa.array(np.concatenate([at[later], *near]).astype(np.int64), pa.int64())})
 
 
 def repeated_runs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, places): the runs that stand earlier too, each as its first sentence's number x 64 + its sentences, packed as uint32."""
+    """(doc_id, places): the runs that stand earlier too, each as its first sentence's number x 64 + its sentences."""
     docs = docs.select("doc_id", F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     groups = max(1, math.ceil((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / GROUP))
     deal = math.ceil(groups / FAN)
     sent = docs.mapInArrow(_scan(groups, deal), PACKED)
     if deal > 1:
         sent = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_deal_again(groups), PACKED)
-    return sent.groupBy("part").applyInArrow(_later, PACKED).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("at").alias("places"))
+    return sent.groupBy("part").applyInArrow(_later, "doc_id long, at long").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -239,13 +242,13 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     later = repeated_runs(docs, text).toDF(key, places)
     shown = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text).cast("string").alias(body))
     joined = shown.filter("doc_id IS NOT NULL").join(later, F.col("doc_id") == F.col(key), "left").drop(key)
-    joined = joined.union(shown.filter("doc_id IS NULL").withColumn(places, F.lit(None).cast("array<binary>")))
+    joined = joined.union(shown.filter("doc_id IS NULL").withColumn(places, F.lit(None).cast("array<bigint>")))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema] + [f"`{text}` string", "n_removed int"])
 
-    def left(t: str, found: list[bytes]) -> tuple[str, int]:
+    def left(t: str, found: list[int]) -> tuple[str, int]:
         whole = t.encode()
         first, of, start, _ = cut([whole])
-        at = np.frombuffer(b"".join(found), np.uint32)
+        at = np.array(found)
         gone = np.zeros(len(of) + 1, np.int64)
         np.add.at(gone, np.minimum(at >> 6, len(of)), 1)
         np.add.at(gone, np.minimum((at >> 6) + (at & 63), len(of)), -1)
