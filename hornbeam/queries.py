@@ -86,11 +86,12 @@ ASKS: dict[str, Ask] = {
     "cartesian_product": Ask(REGION, "pair(A, B) :- region(_, A), region(_, B).", "pair(A, B)", "a b", "SELECT x.r_name AS a, y.r_name AS b FROM region x CROSS JOIN region y"),
     "union": Ask(CUSTOMER | SUPPLIER, "n(N) :- customer(_, N, _).\nn(N) :- supplier(_, N).", "n(N)", "nation", "SELECT c_nationkey::BIGINT AS nation FROM customer UNION SELECT s_nationkey::BIGINT FROM supplier"),
     "intersection": Ask(CUSTOMER | SUPPLIER, "c(N) :- customer(_, N, _).\ns(N) :- supplier(_, N).\nboth(N) :- c(N), s(N).", "both(N)", "nation", "SELECT c_nationkey::BIGINT AS nation FROM customer INTERSECT SELECT s_nationkey::BIGINT FROM supplier"),
-    "difference": Ask(PART, "small(B) :- part(_, _, B, S), S < 3.\nall(B) :- part(_, _, B, _).\nrest(B) :- all(B), NOT small(B).", "rest(B)", "brand", "SELECT p_brand AS brand FROM part EXCEPT SELECT p_brand FROM part WHERE p_size < 3"),
+    "difference": Ask(PART, "full(B) :- part(_, _, B, 50).\nall(B) :- part(_, _, B, _).\nrest(B) :- all(B), NOT full(B).", "rest(B)", "brand", "SELECT p_brand AS brand FROM part EXCEPT SELECT p_brand FROM part WHERE p_size = 50"),
     "repeated_variable": Ask(LINES | ORDERS | SUPPLIER | CUSTOMER, "sale(A, B) :- line(O, S, _, _), orders(O, C, _), supplier(S, A), customer(C, B, _).\nhome(X) :- sale(X, X).", "home(X)", "nation", "SELECT DISTINCT s_nationkey::BIGINT AS nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey = c_nationkey"),
     "negation": Ask(ORDERS | CUSTOMER, 'filled(C) :- orders(_, C, "F").\nopen(C) :- customer(C, _, _), ￢filled(C).', "open(C)", "custkey", "SELECT c_custkey AS custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')"),
-    "negation_any": Ask(ORDERS | CUSTOMER, "idle(C) :- customer(C, _, _), NOT orders(_, C, _).", "idle(C)", "custkey", "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "negation_any": Ask(ORDERS | CUSTOMER, "idle(C) :- customer(C, _, _), NOT orders(_, C, \"P\").", "idle(C)", "custkey", "SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
     "ground_query": Ask(REGION, "r(K, N) :- region(K, N).", 'r(1, "ASIA")', "found", "SELECT EXISTS (SELECT 1 FROM region WHERE r_regionkey = 1 AND r_name = 'ASIA') AS found"),
+    "ground_query_false": Ask(REGION, "r(K, N) :- region(K, N).", 'r(2, "nowhere")', "found", "SELECT EXISTS (SELECT 1 FROM region WHERE r_regionkey = 2 AND r_name = 'nowhere') AS found"),
     "mixed_query": Ask(NATION, "n(K, N, R) :- nation(K, N, R).", "n(_, N, 2)", "name region", "SELECT DISTINCT n_name AS name, 2::BIGINT AS region FROM nation WHERE n_regionkey = 2"),
     "universal_query": Ask(NATION, "n(K, R) :- nation(K, _, R).", "n(K, R)", "nation region", "SELECT n_nationkey::BIGINT AS nation, n_regionkey::BIGINT AS region FROM nation"),
     "ground_guard": Ask(NATION | REGION, "n(N) :- nation(_, N, _), region(0, _), NOT region(99, _).\nn(N) :- nation(_, N, _), region(98, _).", "n(N)", "name", "SELECT n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey = 0)"),
@@ -109,10 +110,9 @@ ASKS: dict[str, Ask] = {
         CLOSURE_SQL + " SELECT x.n_nationkey::BIGINT AS a, y.n_nationkey::BIGINT AS b FROM nation x CROSS JOIN nation y EXCEPT SELECT a, b FROM reach",
     ),
     "same_generation": Ask(
-        NATION | CUSTOMER, "up(X, Y) :- customer(X, Y, _), X < 40.\nup(Y, Z) :- nation(K, _, R), K = Y, R = Z, customer(_, Y, _), customer(_, Z, _).\nsg(X, X) :- up(X, _).\nsg(X, Y) :- up(X, U), sg(U, V), up(Y, V).", "sg(X, Y)", "x y",
-        """WITH RECURSIVE up AS (SELECT DISTINCT c_custkey AS x, c_nationkey::BIGINT AS y FROM customer WHERE c_custkey < 40 UNION
-        SELECT n_nationkey::BIGINT, n_regionkey::BIGINT FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_regionkey IN (SELECT c_nationkey FROM customer)),
-        sg AS (SELECT DISTINCT x, x AS y FROM up UNION SELECT p.x, q.x FROM up p JOIN sg ON p.y = sg.x JOIN up q ON q.y = sg.y) SELECT x, y FROM sg""",
+        NATION | REGION, "up(N, R) :- nation(_, N, K), region(K, R).\nup(R, world) :- region(_, R).\nsg(X, X) :- up(X, _).\nsg(X, X) :- up(_, X).\nsg(X, Y) :- up(X, U), sg(U, V), up(Y, V).", "sg(X, Y)", "x y",
+        """WITH RECURSIVE up AS (SELECT n_name AS x, r_name AS y FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, 'world' FROM region),
+        sg AS (SELECT x, x AS y FROM up UNION SELECT y, y FROM up UNION SELECT p.x, q.x FROM up p JOIN sg ON p.y = sg.x JOIN up q ON q.y = sg.y) SELECT x, y FROM sg""",
     ),
     "disjunction_split": Ask(PART, "small(K) ∨ light(K) :- part(K, _, _, S), S < 5.", "light(K)", "partkey", "SELECT p_partkey AS partkey FROM part WHERE p_size < 5", disjunction="split"),
 }
@@ -124,10 +124,13 @@ def _view(spark: SparkSession, folder: str, table: str, columns: str) -> View:
 
 
 def view_algebra(spark: SparkSession, folder: str) -> DataFrame:
-    """Set operators of views: (customers' nations less suppliers', and both, together), renamed."""
-    c = _view(spark, folder, "customer", "c_nationkey").rename(c_nationkey="nation")
-    s = _view(spark, folder, "supplier", "s_nationkey")
-    return c.difference(s).union(c.intersection(s)).frame()
+    """Set operators of views, each apart: nations of both names, of one only, of either."""
+    n = _view(spark, folder, "nation", "n_nationkey n_regionkey")
+    low = n.select(Criterion("n_nationkey", "<", Const(15))).project("n_regionkey", "n_nationkey")
+    high = n.select(Criterion("n_nationkey", ">", Const(9))).project("n_regionkey", "n_nationkey")
+    parts = {"union": low.union(high), "intersection": low.intersection(high), "difference": low.difference(high)}
+    frames = [v.rename(n_regionkey="region", n_nationkey="nation").frame().withColumn("part", F.lit(name)) for name, v in parts.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
 def view_joins(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +162,8 @@ def fd_check(spark: SparkSession, folder: str) -> DataFrame:
 
 def fd_holds(spark: SparkSession, folder: str) -> DataFrame:
     orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey").toDF("c0", "c1")
-    return dependency_rows(orders, Dependency((0,), (1,))).toDF("orderkey", "n")
+    broken = dependency_rows(orders, Dependency((0,), (1,)))
+    return broken.agg((F.count("*") == 0).alias("holds"))
 
 
 def _round_trip(form: str, **options) -> Callable[[SparkSession, str], DataFrame]:
@@ -169,7 +173,7 @@ def _round_trip(form: str, **options) -> Callable[[SparkSession, str], DataFrame
         from hornbeam.plans.storage import folder as shared
         from hornbeam.sources.formats import reader, writer
 
-        s, path = schema("integer", "string", "integer"), f"{shared(spark)}/hornbeam/{uuid.uuid4().hex}"
+        s, path = schema("integer", "string", "integer"), f"{shared(spark)}/{uuid.uuid4().hex}"
         p = Program()
         p.add_frame("nation", spark.read.parquet(f"{folder}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey"))
         writer(form)(p.frame("nation", spark), path, s)
@@ -179,12 +183,14 @@ def _round_trip(form: str, **options) -> Callable[[SparkSession, str], DataFrame
 
 
 MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
-    "view_algebra": (view_algebra, "SELECT DISTINCT c_nationkey::BIGINT AS nation FROM customer"),
+    "view_algebra": (view_algebra, """WITH low AS (SELECT n_regionkey::BIGINT AS region, n_nationkey::BIGINT AS nation FROM nation WHERE n_nationkey < 15),
+        high AS (SELECT n_regionkey::BIGINT AS region, n_nationkey::BIGINT AS nation FROM nation WHERE n_nationkey > 9)
+        SELECT *, 'union' AS part FROM (FROM low UNION FROM high) UNION ALL SELECT *, 'intersection' FROM (FROM low INTERSECT FROM high) UNION ALL SELECT *, 'difference' FROM (FROM low EXCEPT FROM high)"""),
     "view_joins": (view_joins, "SELECT n_nationkey::BIGINT AS n_nationkey, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey > 0"),
     "view_product": (view_product, "SELECT r_name, n_name FROM region CROSS JOIN nation"),
     "constraint_violations": (constraint_violations, "SELECT p_partkey AS partkey, p_size::BIGINT AS size FROM part WHERE p_size > 45 AND p_size <> 50"),
     "fd_check": (fd_check, "SELECT o_custkey AS custkey, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1"),
-    "fd_holds": (fd_holds, "SELECT o_orderkey AS orderkey, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1"),
+    "fd_holds": (fd_holds, "SELECT count(*) = 0 AS holds FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1)"),
     **{f"{form}_roundtrip": (_round_trip(form, **options), "SELECT n_nationkey::BIGINT AS nationkey, n_name AS name, n_regionkey::BIGINT AS regionkey FROM nation") for form, options in (("csv", {"has_headers": True}), ("tsv", {"has_headers": True}), ("json", {}), ("parquet", {}))},
 }
 
