@@ -7,16 +7,18 @@ The search takes nodes by their least possible distance and stops at the k-th be
 distances and the triangle inequality spare the computation of most others. Floats only
 choose what to visit (with a margin); the scores themselves are integers.
 
-Layout: vectors are dealt to shards by the nearest of a bounded number of pivots, shards above the page
-limit are split by a hash, and queries come in blocks. A task holds one shard page and one block of
-queries, both of bounded size, builds its tree and returns at most k rows for each query; the
-best k of all shards follow. Each block first learns a floor for its k-th score from a bounded sample.
+Layout: vectors are dealt to shards by the nearest of a bounded number of pivots; a shard is a node at the top, with its pivot
+as routing vector and a covering radius. Each query first learns a floor for its k-th score from a bounded sample, and goes only to
+shards that can hold a score as good: q x <= q p + |q| radius. Shards above the page limit are split by a hash, and the queries of a
+shard come in blocks. A task holds one shard page and one block of queries, both of bounded size, builds its tree
+and returns at most k rows for each query; the best k of all shards follow.
 
 Style: numpy in Arrow groups; best-first search has no SQL form.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows
 with a null id; a query meets only vectors of its own length; ties go to the smaller id; rows of a repeated id are
-one vector for each different content, and no row of the query's own id is its candidate; the empty vector scores 0 with
+candidates each, also if they hold the same, so an id can take several ranks, and no row of the query's own id is its candidate; a
+query id with several vectors asks with each, and its results are ranked together; the empty vector scores 0 with
 its like; with fewer than k candidates all are returned; an empty table gives no rows.
 """
 
@@ -27,17 +29,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from hornbeam.llm.common import table
+from hornbeam.llm.common import stored, table
 
 #: Vectors in a leaf page, in a shard page, and queries in a block.
 LEAF, PAGE, BLOCK = 512, 20_000, 5_000
 #: Bytes of the sample that floors are taken from, and its rows at most; pivots at most.
 SAMPLE_BYTES, SAMPLE_ROWS, PIVOTS = 16 << 20, 2048, 256
+#: Shards whose sizes are broadcast, at most.
+GRID = 50_000
 
 
 def inner(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -165,57 +169,111 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim).astype(np.int64)
 
 
+_PLACED = "vec_id long, v array<long>, dim int, shard int, far double"
+_ROUTED = "query_id long, v array<long>, dim int, shard int, floor long"
+
+
+def _by_length(batches, names: str, work):
+    """Rows of (id, v, dim) in parts of one length each, with what ``work(dim, ids, matrix)`` gives: columns, or (row, columns) where rows repeat."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            part = pa.Table.from_batches([whole.slice(at, 2000)])
+            for dim in sorted(set(part.column(2).to_pylist())):
+                own = part.filter(pa.compute.equal(part.column(2), dim))
+                rows, made = work(dim, own.column(0).to_numpy(), _matrix(own.column(1), dim))
+                own = own.take(pa.array(rows)) if rows is not None else own
+                yield from pa.Table.from_arrays([*own.columns, *made], names=names.split()).to_batches()
+
+
+def _apart(rows: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` different rows, each the farthest from those before it, so that radii around them are small."""
+    chosen, gap = [0], ((rows - rows[0]) ** 2).sum(1)
+    while len(chosen) < n and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((rows - rows[chosen[-1]]) ** 2).sum(1))
+    return rows[chosen]
+
+
+def shards(vectors: DataFrame, k: int) -> tuple[DataFrame, object]:
+    """Stored rows of _PLACED, and the broadcast (sample trees, pivots, radii) of the lengths in a bounded sample; other lengths are one shard each."""
+    spark = vectors.sparkSession
+    widest = vectors.agg(F.max("dim")).first()[0] or 1
+    sample = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(max(k + 1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * widest)))).toArrow()
+    lists, dims = sample["v"].to_pylist(), np.array(sample["dim"].to_pylist())
+    trees = {}
+    for d in set(dims.tolist()):
+        at = np.flatnonzero(dims == d)
+        trees[d] = MTree(sample["vec_id"].to_numpy()[at], np.array([lists[i] for i in at], dtype=np.int64).reshape(len(at), d))
+    sizes = {r.dim: r.n for r in vectors.filter(F.col("dim").isin(sorted(trees))).groupBy("dim").agg(F.count("*").alias("n")).collect()} if trees else {}
+    pivots = {d: _apart(t.plain, min(PIVOTS, math.ceil(sizes.get(d, 1) / PAGE))) for d, t in trees.items()}
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def near(dim, ids, x):
+        p = sent.value.get(dim)
+        if p is None or not dim:
+            return None, [pa.array(np.zeros(len(ids), np.int32)), pa.array(np.zeros(len(ids)))]
+        apart = np.stack([((x - c) ** 2).sum(1) for c in p], 1)
+        best = apart.argmin(1)
+        return None, [pa.array(best.astype(np.int32)), pa.array(np.sqrt(apart[np.arange(len(x)), best]))]
+
+    placed = stored(vectors.mapInArrow(lambda batches: _by_length(batches, "vec_id v dim shard far", near), _PLACED))
+    far = placed.filter(F.col("dim").isin(sorted(trees))).groupBy("dim", "shard").agg(F.max("far").alias("far")).collect() if trees else []
+    radii = {d: np.full(len(p), -math.inf) for d, p in pivots.items()}
+    for r in far:  # one row for each pivot
+        radii[r.dim][r.shard] = r.far
+    return placed, spark.sparkContext.broadcast((trees, pivots, radii))
+
+
+def routes(queries: DataFrame, sent, k: int) -> DataFrame:
+    """Stored rows of _ROUTED: each query with the shards that can hold one of its k best, and the floor of their scores."""
+
+    def go(dim, ids, x):
+        trees, pivots, radii = (m.get(dim) for m in sent.value)
+        rows, shard, floors = [], [], []
+        for i, (q, v) in enumerate(zip(ids.tolist(), x, strict=True)):
+            known = trees.search(v, q, k) if trees else []
+            floor = min(known)[0] if len(known) == k else None
+            open_ = [0]
+            if trees:
+                size = math.sqrt(float((v.astype(float) ** 2).sum()))
+                most = pivots @ v.astype(float) + size * radii
+                open_ = np.flatnonzero((most + 1e-6 * (1 + np.abs(most)) >= floor if floor is not None else True) & (radii >= 0)).tolist()
+            rows += [i] * len(open_)
+            shard += open_
+            floors += [floor] * len(open_)
+        return np.array(rows, np.int64), [pa.array(shard, pa.int32()), pa.array(floors, pa.int64())]
+
+    return stored(queries.mapInArrow(lambda batches: _by_length(batches, "query_id v dim shard floor", go), _ROUTED))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors (vec_id, v: array of long) and queries (query_id, v)."""
-    spark = vectors.sparkSession
     vectors = vectors.select("vec_id", "v", F.size("v").alias("dim")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
     queries = queries.select("query_id", "v", F.size("v").alias("dim")).filter("query_id IS NOT NULL AND v IS NOT NULL").distinct()
-    sizes = {r.dim: r.n for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    widest = max(1, *sizes)
-    sample = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(max(k + 1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * widest)))).toArrow()
-    lists = sample["v"].to_pylist()
-    trees = {d: MTree(np.array([i for i, w in zip(sample["vec_id"].to_pylist(), sample["dim"].to_pylist(), strict=True) if w == d]), np.array([x for x in lists if len(x) == d], dtype=np.int64).reshape(sum(len(x) == d for x in lists), d)) for d in {len(x) for x in lists}}
-    pivots = {d: t.plain[: max(1, min(PIVOTS, math.ceil(sizes[d] / PAGE)))] for d, t in trees.items()}
-    sent = spark.sparkContext.broadcast((trees, pivots))
-
-    def place(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                dims, rows = batch.column(2).to_pylist(), batch.column(1)
-                shard = []
-                for i, d in enumerate(dims):
-                    p = sent.value[1].get(d)
-                    shard.append(0 if p is None or len(p) == 1 else int(((p - np.array(rows[i].as_py(), float)) ** 2).sum(1).argmin()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int32())], names=["vec_id", "v", "dim", "shard"])
-
-    # sizes of shards, and of blocks, are known before anything is grouped
-    placed = vectors.mapInArrow(place, "vec_id long, v array<long>, dim int, shard int")
-    full = placed.groupBy("dim", "shard").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages"))
-    blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes = full.join(blocks, "dim").collect()  # at most PIVOTS rows for each length of vectors
-    grid = spark.createDataFrame([tuple(r) for r in sizes], "dim int, shard int, pages int, blocks int")
+    placed, sent = shards(vectors, k)
+    routed = routes(queries, sent, k)
+    # sizes of shards, and of their blocks, are known before anything is grouped
+    pages = placed.groupBy("dim", "shard").agg(F.ceil(F.count("*") / PAGE).cast("int").alias("pages"))
+    grid = stored(pages.join(routed.groupBy("dim", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), ["dim", "shard"]))
+    # one row for each shard; with very many lengths of vectors, the join decides how to meet it
+    grid = F.broadcast(grid) if grid.count() <= GRID else grid
     salt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = placed.join(F.broadcast(grid), ["dim", "shard"]).withColumn("page", salt("vec_id", "pages")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = queries.join(F.broadcast(grid), "dim").withColumn("block", salt("query_id", "blocks")).withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+    left = placed.join(grid, ["dim", "shard"]).withColumn("page", salt("vec_id", "pages")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = routed.join(grid, ["dim", "shard"]).withColumn("block", salt("query_id", "blocks")).withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
     keys = ["dim", "shard", "page", "block"]
-    result = T._parse_datatype_string("query_id long, vec_id long, score long")
 
     def search(key, own: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list[int]] = [[], [], []]
         if own.num_rows and asked.num_rows:
-            tree, seeds = MTree(own["vec_id"].to_numpy(), _matrix(own["v"], key[0].as_py())), sent.value[0].get(key[0].as_py())
-            for q, v in zip(asked["query_id"].to_pylist(), _matrix(asked["v"], key[0].as_py()), strict=True):
-                known = seeds.search(v, q, k) if seeds else []
-                for s, i in tree.search(v, q, k, min(known)[0] if len(known) == k else None):
+            tree = MTree(own["vec_id"].to_numpy(), _matrix(own["v"], key[0].as_py()))
+            for q, v, floor in zip(asked["query_id"].to_pylist(), _matrix(asked["v"], key[0].as_py()), asked["floor"].to_pylist(), strict=True):
+                for s, i in tree.search(v, q, k, floor):
                     out[0].append(q)
                     out[1].append(i)
                     out[2].append(s)
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
-    found = left.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "v").groupBy(*keys)).applyInArrow(search, result)
+    found = left.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "v", "floor").groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -63,3 +63,29 @@ def test_many_pages_and_blocks(spark, monkeypatch):
     for q in range(0, 500, 20):
         assert sorted((r.score, r.vec_id) for r in out if r.query_id == q) == brute(range(500), v, v[q], q, 9)
     assert M.top_k(rows.limit(0), rows.withColumnRenamed("vec_id", "query_id")).count() == 0
+
+
+def test_queries_visit_only_shards_that_can_hold_their_best(spark, monkeypatch):
+    monkeypatch.setattr(M, "PAGE", 50)
+    rng = np.random.default_rng(8)
+    far = 400 * np.eye(8, dtype=int)
+    v = np.concatenate([far[k] + rng.integers(-4, 5, (100, 8)) for k in range(8)])
+    rows = spark.createDataFrame([(i, x.tolist(), 8) for i, x in enumerate(v)], "vec_id long, v array<long>, dim int")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v", "dim")
+    placed, sent = M.shards(rows, 5)
+    n, routed = placed.select("shard").distinct().count(), M.routes(asked, sent, 5)
+    assert n > 8 and routed.count() < 0.5 * n * asked.count() and routed.select("query_id").distinct().count() == 40
+    out = M.top_k(rows, asked, 5).collect()
+    for q in range(0, 800, 20):
+        assert sorted((r.score, r.vec_id) for r in out if r.query_id == q) == brute(range(800), v, v[q], q, 5)
+
+
+def test_lengths_outside_the_sample_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "SAMPLE_ROWS", 4)
+    rows = [(i, list(range(1, 2 + i % 30))) for i in range(300)] + [(7, [3] * 3), (7, [3] * 3), (1000, [1, 1, 1])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    out = M.top_k(df, df.filter("vec_id >= 280").withColumnRenamed("vec_id", "query_id"), 6).collect()
+    for q, v in rows[280:300] + rows[-1:]:
+        same = [r for r in rows if len(r[1]) == len(v)]
+        assert sorted((r.score, r.vec_id) for r in out if r.query_id == q) == brute([r[0] for r in same], [r[1] for r in same], v, q, 6)
+    assert [(r.rank, r.vec_id) for r in out if r.query_id == 1000][:2] == [(1, 7), (2, 7)]
