@@ -263,6 +263,31 @@ class Rule:
         return f"{head + ' ' if head else ''}⟵ {' ∧ '.join(map(str, self.body))}."
 
 
+class RuleBuilder:
+    """Puts a rule together step by step; ``build`` gives the rule, which does not change any more."""
+
+    def __init__(self):
+        self.heads: list[Atom] = []
+        self.literals: list[Literal] = []
+
+    def head(self, *atoms: Atom) -> RuleBuilder:
+        self.heads += atoms
+        return self
+
+    def body(self, *of: Atom | Comparison) -> RuleBuilder:
+        self.literals += [Literal(x) for x in of]
+        return self
+
+    def without(self, *of: Atom | Comparison) -> RuleBuilder:
+        """Negated literals."""
+        self.literals += [Literal(x, True) for x in of]
+        return self
+
+    def build(self) -> Rule:
+        return Rule(tuple(self.heads), tuple(self.literals))
+
+
+
 @dataclass(frozen=True)
 class Query:
     atom: Atom

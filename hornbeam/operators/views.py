@@ -133,3 +133,9 @@ class View:
 
     def is_empty(self) -> bool:
         return self.df.isEmpty()
+
+    def text(self, form: str = "text", most: int | None = 1000) -> str:
+        """The view as a table for the eye, or as csv, json or pretty json."""
+        from hornbeam.sources.formats import print_relation
+
+        return print_relation(self.df, self.schema, form, most)

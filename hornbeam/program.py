@@ -34,6 +34,8 @@ class Relation:
         self.label, self.schema = label, schema
         self.facts: dict[tuple, None] = {}
         self.frames: list[DataFrame] = []
+        #: The only frame has no repeated rows, so scans need no shuffle to drop them.
+        self.is_set = False
         self.input: FileBinding | None = None
         self.output: FileBinding | None = None
 
@@ -47,6 +49,10 @@ class Relation:
         self.facts[key] = None
         return True
 
+    def extend(self, rows: Iterable[tuple]) -> int:
+        """Adds facts; how many were new."""
+        return sum([self.add(*r) for r in rows])
+
     def frame(self, spark: SparkSession, schema: Schema | None = None) -> DataFrame:
         schema = schema or self.schema
         parts = [conform(f, schema, self.label) for f in self.frames]
@@ -55,7 +61,7 @@ class Relation:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.distinct()
+        return out if self.is_set and len(self.frames) == 1 and not self.facts else out.distinct()
 
 
 def conform(df: DataFrame, schema: Schema, label: str, on_null: str = "drop") -> DataFrame:
@@ -121,8 +127,8 @@ class Program:
             self.declare_extensional(label, Schema(tuple(Attribute(None, Kind.of(v)) for v in values)))
         return self.extensional[label].add(*values)
 
-    def add_frame(self, label: str, df: DataFrame, labels: Iterable[str] | None = None) -> Relation:
-        """A DataFrame as (part of) an extensional relation, columns by position."""
+    def add_frame(self, label: str, df: DataFrame, labels: Iterable[str] | None = None, is_set: bool = False) -> Relation:
+        """A DataFrame as (part of) an extensional relation, columns by position; ``is_set`` says that it has no repeated rows."""
         kinds = [Kind.of_spark(f.dataType) for f in df.schema.fields]
         own = Schema(tuple(Attribute(n, k) for n, k in zip(labels or [None] * len(kinds), kinds, strict=True)))
         if label not in self.extensional:
@@ -131,8 +137,37 @@ class Program:
         found.schema = found.schema.merged(own)
         conform(df, found.schema, label)
         found.frames.append(df)
+        found.is_set = is_set and len(found.frames) == 1
         return found
 
+    def extend(self, label: str, rows: Iterable[tuple]) -> int:
+        """Adds facts to a given relation; how many were new."""
+        return sum([self.add_fact(label, *r) for r in rows])
+
+    def merge(self, other: Program) -> int:
+        """Adds the given relations of another program; how many of its facts were new (rows of frames are not counted)."""
+        new = 0
+        for label, r in other.extensional.items():
+            if label not in self.extensional:
+                self.declare_extensional(label, r.schema)
+            new += self.extend(label, r.facts)
+            for df in r.frames:
+                self.add_frame(label, df)
+        return new
+
+    def only_schemas(self) -> Program:
+        """A program that declares the same relations and holds no facts, rules or queries."""
+        out = Program(self.features, disjunction=self.disjunction)
+        for r in self.extensional.values():
+            out.declare_extensional(r.label, r.schema)
+        for r in self.intensional.values():
+            out.declare_intensional(r.label, r.schema)
+        return out
+
+    def cardinality(self, spark: SparkSession) -> int:
+        """The number of facts of all given relations together."""
+        return sum(self.frame(label, spark).count() for label in self.extensional)
+
     def add_dependency(self, label: str, dependency: Dependency) -> None:
         if Features.FUNCTIONAL_DEPENDENCIES not in self.features:
             raise E.FeatureDisabled("functional_dependencies")

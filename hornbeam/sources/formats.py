@@ -64,13 +64,14 @@ def write_tsv(df: DataFrame, path: str, schema: Schema, has_headers: bool = True
     write_csv(df, path, schema, "\t", has_headers)
 
 
-def write_json(df: DataFrame, path: str, schema: Schema) -> None:
-    """Part files of arrays of arrays, each a JSON text of its own that ``read_json`` takes; written by the executors."""
+def write_json(df: DataFrame, path: str, schema: Schema, pretty: bool = False) -> None:
+    """Part files of arrays of arrays, each a JSON text of its own that ``read_json`` takes; written by the executors. ``pretty`` puts each value on a line."""
+    first, between, last, row = ("[\n    ", ",\n    ", "\n  ]", "\n  ") if pretty else ("[", ",", "]", "")
     value = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", "$1")
-    lines = df.select(F.concat(F.lit("["), F.concat_ws(",", *[value(c) for c in df.columns]), F.lit("]")).alias("r"))
+    lines = df.select(F.concat(F.lit(row + first), F.concat_ws(between, *[value(c) for c in df.columns]), F.lit(last)).alias("r"))
     # one JSON text for each bounded group of rows, so no task holds a whole relation
     groups = max(1, -(-df.count() // JSON_ROWS))
-    texts = lines.groupBy(F.pmod(F.xxhash64("r"), F.lit(groups)).alias("g")).agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("r")), F.lit("]")).alias("value")).select("value")
+    texts = lines.groupBy(F.pmod(F.xxhash64("r"), F.lit(groups)).alias("g")).agg(F.concat(F.lit("["), F.concat_ws(",\n" if not pretty else ",", F.collect_list("r")), F.lit("\n]" if pretty else "]")).alias("value")).select("value")
     texts.repartition(groups).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
@@ -132,13 +133,17 @@ def register_writer(name: str, write: Writer) -> None:
     WRITERS[name] = write
 
 
-def print_relation(df: DataFrame, schema: Schema, form: str = "text", most: int = 1000) -> str:
-    """Up to ``most`` rows for the eye, as text, csv, json or pretty json; for whole relations use a writer."""
-    rows = sorted(tuple(r) for r in df.limit(most).collect())
-    if form == "text":
-        return render(schema, rows)
-    if form == "csv":
-        return "\n".join([",".join(a.label or "_" for a in schema.attributes), *[",".join(map(str, r)) for r in rows]])
+def print_relation(df: DataFrame, schema: Schema, form: str = "text", most: int | None = 1000) -> str:
+    """Rows for the eye, as text, csv, json or pretty json; a last line of text tells how many are left out beyond ``most``
+    (None: the whole relation, which must fit in the driver). For large relations use a writer."""
+    rows = sorted(tuple(r) for r in (df if most is None else df.limit(most)).collect())
     if form in ("json", "pretty"):
         return json.dumps([list(r) for r in rows], ensure_ascii=False, indent=2 if form == "pretty" else None)
-    raise E.UnknownFormat(form)
+    if form == "text":
+        out = render(schema, rows)
+    elif form == "csv":
+        out = "\n".join([",".join(a.label or "_" for a in schema.attributes), *[",".join(map(str, r)) for r in rows]])
+    else:
+        raise E.UnknownFormat(form)
+    left = df.count() - len(rows) if most is not None and len(rows) == most else 0
+    return f"{out}\n... and {left} more" if left else out

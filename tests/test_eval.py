@@ -242,3 +242,25 @@ def test_frames_and_views(spark):
     with pytest.raises(E.FactDoesNotConform):
         v.union(w.project("n"))
     assert p.evaluate(Atom("t", (ANY, Const("a"))), spark).collect()[0][0] is True
+
+
+def test_printing_says_what_is_left_out_and_pretty_files_read_back(spark, tmp_path):
+    from hornbeam.model import schema
+    from hornbeam.operators.views import View
+    from hornbeam.sources import formats
+
+    df, kinds = spark.range(30).selectExpr("id AS c0", "concat('n', id) AS c1"), schema("integer", "string")
+    assert formats.print_relation(df, kinds, most=10).endswith("... and 20 more") and formats.print_relation(df, kinds, most=None).count("\n") == 33
+    assert "... and" not in formats.print_relation(df, kinds, most=40)
+    formats.write_json(df, f"{tmp_path}/pretty", kinds, pretty=True)
+    assert {tuple(r) for r in formats.read_json(spark, f"{tmp_path}/pretty", kinds).collect()} == {tuple(r) for r in df.collect()}
+    v = View.of(df.toDF("number", "name"))
+    assert "| number: integer | name: string |" in v.text() and v.text("csv").startswith("number,name")
+
+
+def test_a_declared_set_is_not_made_distinct(spark):
+    p = parse("big(X) :- n(X), X > 5. ?- big(X).", ALL)
+    p.add_frame("n", spark.range(10), is_set=True)
+    assert p.cardinality(spark) == 10
+    assert "Exchange" not in p.frame("n", spark)._jdf.queryExecution().executedPlan().toString()
+    assert rows(p.run(spark)[0][1]) == {(6,), (7,), (8,), (9,)}

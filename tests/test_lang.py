@@ -9,7 +9,7 @@ from hornbeam.analysis import Precedence
 from hornbeam.features import Features
 from hornbeam.lang.parser import parse
 from hornbeam.lang.writer import to_latex
-from hornbeam.model import ANY, Atom, Comparison, Const, Kind, Literal, Query, Rule, Var, schema
+from hornbeam.model import ANY, Atom, Comparison, Const, Kind, Literal, Query, Rule, RuleBuilder, Var, schema
 from hornbeam.plans import algebra
 from hornbeam.program import Program
 
@@ -192,6 +192,17 @@ def test_api_builds_what_text_says():
     assert Rule((Atom("a", (x,)),), (Literal(Atom("b", (x, y))), Literal(Comparison(y, "<", Const(2))))).non_distinguished == {"Y"}
 
 
+def test_rules_can_be_built_and_relations_merged():
+    x, y = Var("X"), Var("Y")
+    built = RuleBuilder().head(Atom("idle", (x,))).body(Atom("staff", (x, y)), Comparison(y, ">", Const(3))).without(Atom("ill", (x,))).build()
+    assert built == rule("idle(X) :- staff(X, Y), Y > 3, NOT ill(X).")
+    p, q = parse("e(a, 1). e(b, 2)."), parse("e(b, 2). e(c, 3). f(z). g(X) :- e(X, _).")
+    assert p.extend("e", [("b", 2), ("d", 4)]) == 1 and p.merge(q) == 2
+    assert len(p.extensional["e"].facts) == 4 and len(p.extensional["f"].facts) == 1
+    bare = q.only_schemas()
+    assert set(bare.extensional) == {"e", "f"} and set(bare.intensional) == {"g"} and not bare.rules and not bare.extensional["e"].facts
+
+
 @given(st.text(max_size=12))
 def test_any_string_survives_printing(text):
     if any(ord(c) < 32 and c != "\t" for c in text):
