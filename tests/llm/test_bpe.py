@@ -47,3 +47,12 @@ def test_parts_join_to_the_text():
 def test_empty_table(spark):
     rows = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_documents(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_query_equals_the_library(spark, plain, tmp_path):
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in bpe.op3_byte_bpe(spark, str(tmp_path)).collect()}
+    assert len(out) == len(TEXTS)
+    for i, t in enumerate(TEXTS):
+        ids = plain.encode_ordinary(t or "")
+        assert (out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
