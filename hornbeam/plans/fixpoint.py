@@ -9,6 +9,7 @@ before it is read.
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import Protocol
 
@@ -124,19 +125,27 @@ class SemiNaive:
             if self.max_iterations is not None and rounds > self.max_iterations:
                 raise E.DatalogError(f"no fixpoint after {self.max_iterations} rounds of {', '.join(sorted(group))}")
             known = done | {p: steps[p].whole for p in group}
-            new, born = {}, set()
+            cands = {}
             for p in group:
                 parts = [self._apply(spark, r, known, i, fresh) for r in loop if r.head[0].predicate == p for i in inner(r) if r.positive_atoms[i].predicate in live]
                 if parts:
                     cand = _union(parts).distinct()
-                    new[p], n = steps[p].add(cand.join(known[p], cand.columns, "left_anti"))
-                    born |= {p} if n else set()
-            fresh, live = fresh | new, born
+                    cands[p] = cand.join(known[p], cand.columns, "left_anti")
+            new = _together(lambda p, df: steps[p].add(df), cands)  # predicates of a group do not wait for each other
+            fresh, live = fresh | {p: df for p, (df, _) in new.items()}, {p for p, (_, n) in new.items() if n}
         self.iterations |= dict.fromkeys(group, rounds)
         log.info("%s: fixpoint after %d rounds", ", ".join(sorted(group)), rounds)
         return {p: steps[p].whole for p in group}
 
 
+def _together(work, items: dict) -> dict:
+    """``work(key, value)`` of all items, as jobs side by side."""
+    if len(items) < 2:
+        return {k: work(k, v) for k, v in items.items()}
+    with ThreadPoolExecutor(len(items)) as pool:
+        return dict(zip(items, pool.map(work, items.keys(), items.values()), strict=True))
+
+
 class Naive:
     """All rules against all facts until nothing is new: the plain semantics, for tests and small programs. Strata are
     solved in order, so that negation means the same here."""
