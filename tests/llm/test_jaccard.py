@@ -99,7 +99,7 @@ def test_lists_between_components(texts):
 
 
 def test_query_equals_its_sql(spark, texts, tmp_path):
-    brute.same_as_sql(spark, tmp_path, J.op4_ngram_jaccard, J.OP4_SQL, documents=spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    brute.same_as_sql(spark, tmp_path, J.op4_ngram_jaccard, J.OP4_SQL, documents=spark.createDataFrame([(i, t) for i, t in texts.items() if len(t or "") < 10_000], "doc_id long, text string"))
 
 
 def test_components_of_long_chains(spark):
